@@ -19,6 +19,7 @@ _SEPARATOR_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 
 #: Rows of whole texts in one Arrow batch; long texts make larger batches, so it stays low.
 TEXT_ROWS = 500
+TEXT_BYTES = 16 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -66,6 +67,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in rows and bytes: texts and frames can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str | Column],
@@ -75,7 +82,7 @@ def map_texts(
     """Run ``work`` over Arrow batches of whole texts, a bounded number of rows at a time."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    bound_batches(spark)
     return df.select(*columns).mapInArrow(work, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, token_count, token_store
+from tessella.llm import bpe_automaton, quality, token_count, token_store
 from tessella.llm.common import read_table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -28,5 +28,9 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path(BYTE_TOKENIZER), limit=1024)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessella.llm import context_coder
 from tessella.llm import tokenizer_files as tf
 from tessella.llm.bpe_automaton import tokenizer_bytes
-from tessella.llm.common import map_texts, shared_dir, ship
+from tessella.llm.common import bound_batches, map_texts, shared_dir, ship
 
 _HEAD = struct.Struct("<4sIIQIII")
 #: A frame is closed once it has this many ids; its last document is whole.
@@ -182,5 +182,5 @@ def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType)
                 values = [value(ids[s:e]) for s, e in zip(first.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + base[pid] + inner), pa.array(counts.astype(np.int64)), pa.array(values, kind)], ["doc_id", "start", "n_tokens", column.split()[0]])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    bound_batches(spark)
     return frames.select("pid", "seq", "frame").join(inside, ["pid", "seq"]).select("pid", "inside", "frame").mapInArrow(work, f"doc_id long, start long, n_tokens long, {column}")
