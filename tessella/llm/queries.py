@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, quality, token_count, token_store
+from tessella.llm import bpe_automaton, kd_shards, mixing, quality, secret_scan, token_count, token_store
 from tessella.llm.common import read_table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -32,5 +32,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(read_table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
