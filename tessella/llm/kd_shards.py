@@ -31,27 +31,10 @@ _TIES = float(1 << 48)
 
 @dataclass
 class Node:
-    """A part of the space: its shards, and its split once that is known."""
+    """A part of the space: the first of its shards, and how many it has."""
 
-    key: int
     first: int
     shards: int
-    dim: int = 0
-    value: float = 0.0
-    edge: float = 0.0
-    left: Node | None = None
-    right: Node | None = None
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.left is None else self.left.leaves() + self.right.leaves()
-
-    def place(self, of, dims: list[Column], tie: Column) -> Column:
-        """``of(leaf)`` for the leaf that a row falls into."""
-        if self.left is None:
-            return F.lit(of(self))
-        v = dims[self.dim]
-        below = (v < self.value) | ((v == self.value) & (tie <= self.edge))
-        return F.when(below, self.left.place(of, dims, tie)).otherwise(self.right.place(of, dims, tie))
 
 
 def string_code(c: Column) -> Column:
@@ -102,45 +85,51 @@ def _medians(rows: DataFrame, searches: dict[int, _Search], cells: int) -> None:
                 del open_[k]
 
 
-def build(rows: DataFrame, dims: list[Column], shards: int, *, cells: int = CELLS) -> Node:
-    """Grow the tree over ``rows`` (columns ``w`` and ``tie`` beside those of ``dims``).
+def partition(rows: DataFrame, dims: int, shards: int, *, cells: int = CELLS) -> DataFrame:
+    """Add ``shard`` to ``rows`` (columns ``d0``.. of double, ``w`` and ``tie``).
 
-    The driver holds the tree, ``cells`` sums for each node of a level, and
-    nothing of single rows. Without rows the tree is one leaf.
+    The tree grows by levels. Each row carries its node, and the table with the
+    new nodes is written once for each level, so that no level computes the
+    ones before it again. The driver holds a level's nodes, ``cells`` sums for
+    each, and nothing of single rows.
     """
-    root = Node(0, 0, shards)
-    tie, scales = F.col("tie"), None
-    while True:
-        node = root.place(lambda n: n.key, dims, tie)
-        todo = {n.key: n for n in root.leaves() if n.shards > 1}
-        if not todo:
-            return root
-        ends = [f(d).alias(f"{k}{i}") for i, d in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]
-        level = rows.withColumn("node", node)
-        seen = {r.node: r for r in level.where(F.col("node").isin(list(todo))).groupBy("node").agg(F.sum("w").alias("w"), *ends).collect()}
-        if not seen:
-            return root
-        searches = {}
-        for k, n in todo.items():
-            r = seen.get(k)
-            if r is None:
-                n.shards = 1  # nothing here: its further shards stay empty
-                continue
-            spread = [r[f"hi{i}"] - r[f"lo{i}"] for i in range(len(dims))]
+    rows = rows.withColumn("node", F.lit(0))
+    nodes, scales, following = {0: Node(0, shards)}, None, 1
+    final: dict[int, int] = {}
+    while nodes:
+        final |= {k: n.first for k, n in nodes.items() if n.shards == 1}
+        nodes = {k: n for k, n in nodes.items() if n.shards > 1}
+        if not nodes:
+            break
+        ends = [f(f"d{i}").alias(f"{k}{i}") for i in range(dims) for k, f in (("lo", F.min), ("hi", F.max))]
+        seen = {r.node: r for r in rows.where(F.col("node").isin(list(nodes))).groupBy("node").agg(F.sum("w").alias("w"), *ends).collect()}
+        nodes = {k: n for k, n in nodes.items() if k in seen}  # the others hold no rows
+        if not nodes:
+            break
+        searches, which = {}, {}
+        for k, n in nodes.items():
+            r = seen[k]
+            spread = [r[f"hi{i}"] - r[f"lo{i}"] for i in range(dims)]
             scales = scales or [x or 1.0 for x in spread]
-            n.dim = max(range(len(dims)), key=lambda i: (spread[i] / scales[i], -i))
-            searches[k] = _Search(r[f"lo{n.dim}"], r[f"hi{n.dim}"], 0.0, float(r.w) * (n.shards // 2) / n.shards)
-        which = _by_node({k: todo[k].dim for k in searches})
-        level = level.withColumn("v", F.coalesce(*[F.when(which == i, d) for i, d in enumerate(dims)]))
+            d = which[k] = max(range(dims), key=lambda i: (spread[i] / scales[i], -i))
+            searches[k] = _Search(r[f"lo{d}"], r[f"hi{d}"], 0.0, float(r.w) * (n.shards // 2) / n.shards)
+        dim = _by_node(which)
+        level = rows.withColumn("v", F.coalesce(*[F.when(dim == i, F.col(f"d{i}")) for i in range(dims)]))
         _medians(level, searches, cells)
+        value = _by_node({k: s.low for k, s in searches.items()})
         edges = {k: _Search(0.0, _TIES, s.before, s.want) for k, s in searches.items()}
-        at_split = level.where(F.col("v") == _by_node({k: s.low for k, s in searches.items()})).select("node", "w", F.col("tie").alias("v"))
-        _medians(at_split, edges, cells)
-        for k in searches:
-            n, half = todo[k], todo[k].shards // 2
-            n.value, n.edge = searches[k].low, edges[k].low
-            n.left = Node(2 * k + 1, n.first, half)
-            n.right = Node(2 * k + 2, n.first + half, n.shards - half)
+        _medians(level.where(F.col("v") == value).select("node", "w", F.col("tie").alias("v")), edges, cells)
+        left, children = {}, {}
+        for k, n in nodes.items():
+            half = n.shards // 2
+            left[k] = following
+            children |= {following: Node(n.first, half), following + 1: Node(n.first + half, n.shards - half)}
+            following += 2
+        below = (F.col("v") < value) | ((F.col("v") == value) & (F.col("tie") <= _by_node({k: e.low for k, e in edges.items()})))
+        child = (_by_node(left) + F.when(below, 0).otherwise(1)).cast("int")
+        rows = stored(level.withColumn("node", F.coalesce(child, F.col("node"))).drop("v"), "kd")
+        nodes = children
+    return rows.withColumn("shard", _by_node(final).cast("int")).drop("node")
 
 
 def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, str] | None = None) -> DataFrame:
@@ -166,11 +155,10 @@ def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(int(_TIES))).cast("double").alias("tie"), *[v.alias(f"d{i}") for i, v in enumerate(values)],
     )
     rows = stored(narrow, "kd")
-    columns = [F.col(f"d{i}") for i in range(len(values))]
-    tree = build(rows, columns, shards)
+    rows = partition(rows, len(values), shards)
     # slots: rows are numbered in many parts of each shard, then the parts are put one after the other
     parts = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
-    placed = rows.select("id", "w", "crc", "tie", tree.place(lambda n: n.first, columns, F.col("tie")).cast("int").alias("shard")).withColumn("part", F.pmod(F.col("tie"), F.lit(float(parts))).cast("int"))
+    placed = rows.select("id", "w", "crc", "tie", "shard").withColumn("part", F.pmod(F.col("tie"), F.lit(float(parts))).cast("int"))
     sizes = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("tie", "id"))
