@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe_automaton, kd_shards, mixing, quality, secret_scan, token_count, token_store
+from tessella.llm import bpe_automaton, kd_shards, mixing, quality, secret_scan, simhash, token_count, token_store
 from tessella.llm.common import read_table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checks(spark, path)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, tau=4)
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_count.count_tokens(docs, public_tokenizers.path(BYTE_TOKENIZER), limit=1024)
