@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe_automaton, kd_shards, mixing, quality, secret_scan, simhash, token_count, token_store
+from tessella.llm import bpe_automaton, kd_shards, mixing, quality, rlz, secret_scan, simhash, token_count, token_store, va_topk
 from tessella.llm.common import read_table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +18,11 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_digests(docs, public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op2_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return va_topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = token_store.write_ids(docs, public_tokenizers.path(BYTE_TOKENIZER), end_id=2)
@@ -32,6 +38,11 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path(BYTE_TOKENIZER), limit=1024)
 
 
+def op7_rlz_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz.remove_repeats(read_table(spark, sf_dir, "documents"), window=50, keep_text=False)
+    return out.withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read_table(spark, sf_dir, "documents"))
 
