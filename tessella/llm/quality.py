@@ -134,8 +134,10 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "te
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    tagged = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
-    return judge(tagged, rules, text_col="__text").where("kept").select("__row.*")
+    tagged = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__whole"))
+    # the row number keeps the optimizer from moving the filter below the measures, where each use would compute them again
+    judged = judge(tagged, rules, text_col="__whole").withColumn("__n", F.monotonically_increasing_id())
+    return judged.where("kept AND __n >= 0").select("__row.*")
 
 
 def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
