@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored
+from tessella.llm.common import ship, stored
+
+#: Edges that one task replaces by stars.
+FOREST_EDGES = 500_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some links, and the smallest node that each is linked to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars: they connect the same nodes with one edge less than there are nodes."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        nodes, root = roots(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
+        away = nodes != root
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(root[away])], ["u", "v"])
 
 
 
@@ -21,7 +53,10 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     handling can split. Self-loops and repeated edges do no harm. Raises
     RuntimeError if ``most_rounds`` are not enough.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    given = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    # many links inside one group shrink to a few for each node before any join
+    ship(edges.sparkSession)
+    now = stored(given.coalesce(max(1, -(-given.count() // FOREST_EDGES))).mapInArrow(_forest, "u long, v long"), "edges")
     before = None
     for _ in range(most_rounds):
         # large star: v's larger neighbours hang on the smallest neighbour

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import shingles
 from tessella.llm.common import map_texts, ship, stored
-from tessella.llm.components import components
+from tessella.llm.components import components, roots
 
 PART = 16
 VALUES = 1 << PART
@@ -82,6 +82,26 @@ def _bits(prints: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
 
 
+def _collected(sums: DataFrame, size: int, chunk: int) -> np.ndarray:
+    """Sums ``x`` at places ``at`` below ``size`` as one array: packed by executors, so that the driver holds no row for each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(at // chunk).tolist():
+                own = at // chunk == p
+                held.setdefault(p, np.zeros(chunk, np.int64))[at[own] - p * chunk] = x[own]
+        for p, array in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([array.tobytes()], pa.binary())], ["p", "x"])
+
+    out = np.zeros(-(-size // chunk) * chunk, np.int64)
+    dealt = sums.repartition(F.floor(F.col("at") / chunk)).select("at", "x")
+    for r in dealt.mapInArrow(pack, "p long, x binary").toLocalIterator():
+        out[r.p * chunk : (r.p + 1) * chunk] = np.frombuffer(r.x, np.int64)
+    return out[:size]
+
+
 def bit_order(nodes: DataFrame, words: int) -> list[int]:
     """All bits, those that are set together next to each other.
 
@@ -103,10 +123,8 @@ def bit_order(nodes: DataFrame, words: int) -> list[int]:
             flat = total.ravel().astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size + 1, dtype=np.int64)), pa.array(np.append(flat, n))], ["at", "x"])
 
-    got = nodes.select(*[f"f{k}" for k in range(words)]).mapInArrow(work, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    sums = np.zeros(size * size + 1)
-    for r in got:
-        sums[r["at"]] = r.x
+    summed = nodes.select(*[f"f{k}" for k in range(words)]).mapInArrow(work, "at long, x long").groupBy("at").agg(F.sum("x").alias("x"))
+    sums = _collected(summed, size * size + 1, size * size + 1)
     n = max(sums[-1], 1.0)
     both = sums[:-1].reshape(size, size) / n
     mean = np.diag(both)
@@ -200,9 +218,7 @@ def make_plan(nodes: DataFrame, words: int, tau: int, block_rows: int = BLOCK_RO
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "x"])
 
     counted = nodes.select(*[f"f{k}" for k in range(words)]).mapInArrow(work, "at long, x long").groupBy("at").agg(F.sum("x").alias("x"))
-    counts = np.zeros(parts * VALUES, np.int64)
-    table = counted.toPandas()  # one number for each value of each partition, at most
-    counts[table["at"].to_numpy()] = table["x"].to_numpy()
+    counts = _collected(counted, parts * VALUES, VALUES)
     return Plan(order, counts.reshape(parts, VALUES), tau, block_rows)
 
 
@@ -268,22 +284,6 @@ def _expand(plan_of, words: int):
     return work
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of some links, and the smallest node that each is linked to."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return nodes, nodes[label]
-        label = new
-
-
 def _linker(words: int, sure: int, unsure: int):
     """Compare probes with the index rows of their key and block; rows come sorted, index rows first."""
 
@@ -323,7 +323,7 @@ def _linker(words: int, sure: int, unsure: int):
             for x, y, near in links(data, nodes, probes, probers, starts, counts):
                 if len(x):
                     # sure links become stars; an unsure one is needed only between two of them
-                    n, r = _roots(x[near], y[near])
+                    n, r = roots(x[near], y[near])
                     away = n != r
                     a += [n[away]]
                     b += [r[away]]
@@ -364,7 +364,7 @@ def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, uns
     return stored(found.distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, tau: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, tau: int = 4, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose 64-bit fingerprints are linked, over any number of links.
 
     Returns one row for each input row: the id, ``fingerprint`` (16 hex
@@ -375,7 +375,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, tau: int = 4, id_col:
     """
     prints = stored(fingerprint_texts(docs, shingle=shingle, id_col=id_col, text_col=text_col), "prints")
     nodes = stored(prints.groupBy(F.col("f0").alias("node")).agg(F.min("id").alias("least")).withColumn("f0", F.col("node")), "nodes")
-    linked = components(link(nodes, 1, tau).select("a", "b"))
+    linked = components(link(nodes, 1, tau, block_rows=block_rows).select("a", "b"))
     labelled = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(least, "component").select(F.col("node").alias("f0"), "component_id")

@@ -139,14 +139,13 @@ def components_of(n, linked):
 
 
 @pytest.mark.parametrize("block_rows", [20_000, 2])
-def test_simhash_components(spark, odd, none, block_rows, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", block_rows)
+def test_simhash_components(spark, odd, none, block_rows):
     texts = [*near_texts(), *ODD]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     prints = [shingles.fingerprint(shingles.shingle_hashes(t, 4)) for t in texts]
     linked = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
     want = components_of(len(texts), linked)
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, block_rows=block_rows).collect()}
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in range(len(texts))}
     if block_rows > 2:
         assert simhash.near_duplicates(odd).count() == odd.count()
