@@ -32,7 +32,7 @@ from tessella.llm.common import map_texts, stored
 
 WINDOW = 50
 KGRAM = 12
-#: A table of at most so many rows of spans is sent to all executors (under 64 MB); a larger one is joined by shuffle.
+#: A table of at most so many rows of spans is sent to all executors (over check_l all that was sent took 107 MB at most); a larger one is joined by shuffle.
 SENT_ROWS = 400_000
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _LAST = (1 << 63) - 1
