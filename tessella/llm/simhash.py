@@ -20,7 +20,7 @@ out a spanning forest of the links they find, not the pairs themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +38,8 @@ VALUES = 1 << PART
 BLOCK_ROWS = 20_000
 #: Pairs that are compared in one NumPy step.
 PAIRS = 1 << 20
+#: Partitions that are searched ahead; what they link needs no links from the others.
+FIRST_PARTS = 4
 #: Multipliers that derive further fingerprint words from one shingle hash: odd numbers from the golden ratio.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,43 +224,64 @@ def make_plan(nodes: DataFrame, words: int, tau: int, block_rows: int = BLOCK_RO
     return Plan(order, counts.reshape(parts, VALUES), tau, block_rows)
 
 
-_ROLE_ROWS = "key long, block int, probe boolean, node long"
+class Radii:
+    """The thresholds of fingerprints in each partition under a plan."""
+
+    def __init__(self, plan: Plan):
+        self.plan, self.budget = plan, plan.tau + 1
+        self.steps = min(self.budget + 1, 3 + self.budget // plan.parts)
+        sizes = np.cumsum([len(b) for b in _ball_offsets(self.steps - 2)])
+        # a probe costs as much as some candidates: it is a row that moves
+        self.cost = np.stack([ball_counts(c, self.steps - 2) for c in plan.counts]) + 2.0 * sizes[None, :, None]
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """Thresholds for rows of partition values: [rows, partitions]."""
+        zero = np.zeros((len(values), self.plan.parts, 1))
+        at = np.stack([self.cost[p][:, values[:, p]].T for p in range(self.plan.parts)], axis=1)
+        return allocate(np.concatenate([zero, at], axis=2), self.budget)
+
+
+_ROLE_ROWS = "key long, block int, probe boolean, node long, label long"
 
 
-def _expand(plan_of, words: int):
-    """Fingerprints to rows of the index (one for each partition) and probes."""
+def _rank(prints: np.ndarray) -> np.ndarray:
+    """An order of fingerprints that doesn't depend on how nodes are numbered."""
+    h = np.zeros(len(prints), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(prints.shape[1]):
+            h = (h ^ prints[:, k]) * _MIX
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def _expand(plan_of, words: int, stop: int):
+    """Fingerprints to rows of the index and probes, both in the first ``stop`` partitions."""
     names = [f"f{k}" for k in range(words)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: Plan = plan_of.value
-        parts, budget = plan.parts, plan.tau + 1
-        steps = min(budget + 1, 3 + budget // parts)
-        balls = _ball_offsets(steps - 2)
-        sizes = np.cumsum([len(b) for b in balls])
-        around = np.stack([ball_counts(c, steps - 2) for c in plan.counts])
-        # a probe costs as much as some candidates: it is a row that moves
-        cost = around + 2.0 * sizes[None, :, None]
+        radii = Radii(plan)
+        balls = _ball_offsets(radii.steps - 2)
         blocks_of = -(-plan.counts // plan.block_rows)
         for batch in batches:
             prints, node = _matrix(batch, words), batch.column("node").to_numpy(zero_copy_only=False)
+            label = batch.column("label").to_numpy(zero_copy_only=False)
             for s in range(0, len(prints), 4096):
-                part, own = prints[s : s + 4096], node[s : s + 4096]
+                part, own, group = prints[s : s + 4096], node[s : s + 4096], label[s : s + 4096]
                 values = part_values(part, plan.order).astype(np.int64)
                 rows = np.arange(len(part))
                 keys, block, probe, at = [], [], [], []
                 with np.errstate(over="ignore"):
                     spread = (own.view(np.uint64) * _MIX) >> np.uint64(33)
-                for p in range(parts):
+                for p in range(stop):
                     n_blocks = np.maximum(blocks_of[p][values[:, p]], 1)
                     keys.append(values[:, p] + p * VALUES)
                     block.append((spread % n_blocks.astype(np.uint64)).astype(np.int64))
                     probe.append(np.zeros(len(part), bool))
                     at.append(rows)
-                zero = np.zeros((len(part), parts, 1))
-                estimates = np.concatenate([zero, np.stack([cost[p][:, values[:, p]].T for p in range(parts)], axis=1)], axis=2)
-                radius = allocate(estimates, budget)
-                for p in range(parts):
-                    for r in range(steps - 1):
+                radius = radii.of(values)
+                for p in range(stop):
+                    for r in range(radii.steps - 1):
                         who = np.flatnonzero(radius[:, p] >= r)
                         if not len(who):
                             break
@@ -274,94 +297,149 @@ def _expand(plan_of, words: int):
                         block.append(np.arange(len(hit)) - first)
                         probe.append(np.ones(len(hit), bool))
                         at.append(who)
-                where = np.concatenate(at)
+                where, keys, block, probe = (np.concatenate(c) for c in (at, keys, block, probe))
                 for lo in range(0, len(where), 200_000):
                     cut = slice(lo, lo + 200_000)
                     w = where[cut]
-                    columns = [np.concatenate(keys)[cut], np.concatenate(block)[cut].astype(np.int32), np.concatenate(probe)[cut], own[w], *[part[w, k].view(np.int64) for k in range(words)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "block", "probe", "node", *names])
+                    columns = [keys[cut], block[cut].astype(np.int32), probe[cut], own[w], group[w], *[part[w, k].view(np.int64) for k in range(words)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "block", "probe", "node", "label", *names])
 
     return work
 
 
-def _linker(words: int, sure: int, unsure: int):
-    """Compare probes with the index rows of their key and block; rows come sorted, index rows first."""
+def _linker(plan_of, words: int, sure: int, unsure: int, nearest: bool):
+    """Compare probes with the index rows of their key and block; rows come sorted, index rows first.
 
-    def links(data: np.ndarray, nodes: np.ndarray, probes: np.ndarray, probers: np.ndarray, starts: np.ndarray, counts: np.ndarray):
-        """Pairs within ``sure`` and within ``unsure``; a pair counts from its smaller node only."""
+    An unsure pair is put out by the first partition where its fingerprints
+    meet, so once. With ``nearest`` a probe puts out the closest of its unsure
+    pairs only.
+    """
+    held_radii: list[Radii] = []
+
+    def first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The first partition where probes ``x`` look for ``y``."""
+        plan: Plan = plan_of.value
+        if not held_radii:
+            held_radii.append(Radii(plan))
+        out = []
+        for lo in range(0, len(x), 4096):
+            v, w = (part_values(z[lo : lo + 4096], plan.order) for z in (x, y))
+            out.append((np.bitwise_count(v ^ w) <= held_radii[0].of(v.astype(np.int64))).argmax(axis=1))
+        return np.concatenate(out)
+
+    def links(data: np.ndarray, ids: np.ndarray, probes: np.ndarray, probers: np.ndarray, starts: np.ndarray, counts: np.ndarray):
+        """Probes and index rows within ``unsure`` of each other, and their distances; a pair counts from one side only."""
         at = 0
         ends = np.cumsum(counts)
+        ahead_of, behind = _rank(probes), _rank(data)
         while at < len(probes):
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + PAIRS, side="right")))
             n = counts[at:to]
             q = np.repeat(np.arange(at, to), n)
             d = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at:to], n)
-            ahead = probers[q] < nodes[d]
+            apart = probers[q, 1] != ids[d, 1]
+            q, d = q[apart], d[apart]
+            x, y = ahead_of[q], behind[d]
+            ahead = (x < y) | ((x == y) & (probers[q, 0] < ids[d, 0]))
             q, d = q[ahead], d[ahead]
             distance = np.zeros(len(q), np.int64)
             for k in range(words):
                 distance += np.bitwise_count(probes[q, k] ^ data[d, k])
             near = np.flatnonzero(distance <= unsure)
-            yield probers[q[near]], nodes[d[near]], distance[near] <= sure
+            yield q[near], d[near], distance[near]
             at = to
 
+    def root_of(v: np.ndarray, known: np.ndarray, root: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return v
+        at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+        return np.where(known[at] == v, root[at], v)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held, held_nodes = -1, np.zeros((0, words), np.uint64), np.zeros(0, np.int64)
+        held_key, held, held_ids = -1, np.zeros((0, words), np.uint64), np.zeros((0, 2), np.int64)
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False) << 24 | batch.column("block").to_numpy(zero_copy_only=False).astype(np.int64)
             probe = batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-            node, prints = batch.column("node").to_numpy(zero_copy_only=False), _matrix(batch, words)
+            id_, prints = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label")], axis=1), _matrix(batch, words)
             # what the last batch left of this batch's first key comes before it
             data = np.concatenate([held, prints[~probe]])
-            nodes = np.concatenate([held_nodes, node[~probe]])
+            ids = np.concatenate([held_ids, id_[~probe]])
             data_keys = np.concatenate([np.full(len(held), held_key), key[~probe]])
-            probes, probers, probe_keys = prints[probe], node[probe], key[probe]
+            probes, probers, probe_keys = prints[probe], id_[probe], key[probe]
             starts = np.searchsorted(data_keys, probe_keys, side="left")
             counts = np.searchsorted(data_keys, probe_keys, side="right") - starts
             a, b, c = [], [], []
-            for x, y, near in links(data, nodes, probes, probers, starts, counts):
-                if len(x):
-                    # sure links become stars; an unsure one is needed only between two of them
-                    n, r = roots(x[near], y[near])
-                    away = n != r
-                    a += [n[away]]
-                    b += [r[away]]
-                    c += [np.ones(away.sum(), bool)]
-                    if not near.all():
-                        x, y = x[~near], y[~near]
-                        root = lambda v: np.where(n[np.minimum(np.searchsorted(n, v), len(n) - 1)] == v, r[np.minimum(np.searchsorted(n, v), len(n) - 1)], v) if len(n) else v  # noqa: E731, B023
-                        apart = root(x) != root(y)
-                        a += [x[apart]]
-                        b += [y[apart]]
-                        c += [np.zeros(apart.sum(), bool)]
+            for q, d, distance in links(data, ids, probes, probers, starts, counts):
+                if not len(q):
+                    continue
+                # sure links become stars; an unsure one is needed only between two of them
+                near = distance <= sure
+                known, root = roots(probers[q[near], 1], ids[d[near], 1])
+                away = known != root
+                a += [known[away]]
+                b += [root[away]]
+                c += [np.ones(away.sum(), bool)]
+                q, d, distance = q[~near], d[~near], distance[~near]
+                apart = root_of(probers[q, 1], known, root) != root_of(ids[d, 1], known, root)
+                q, d, distance = q[apart], d[apart], distance[apart]
+                if nearest:
+                    order = np.lexsort((distance, q))
+                    order = order[np.unique(q[order], return_index=True)[1]]
+                    q, d = q[order], d[order]
+                elif len(q):
+                    own = first_meeting(probes[q], data[d]) == (probe_keys[q] >> 24) // VALUES
+                    q, d = q[own], d[own]
+                a += [probers[q, 0]]
+                b += [ids[d, 0]]
+                c += [np.zeros(len(q), bool)]
             if len(data_keys):
                 held_key = data_keys[-1]
                 last = data_keys == held_key
-                held, held_nodes = data[last], nodes[last]
+                held, held_ids = data[last], ids[last]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c))], ["a", "b", "sure"])
 
     return work
 
 
-def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, unsure: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links ``a``, ``b``, ``sure`` that connect all nodes (``node``, ``f0``..) within ``tau`` bits.
+def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, unsure: int | None = None, verify: Callable[[DataFrame], DataFrame] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links ``a``, ``b`` that connect all nodes (``node``, ``f0``..) within ``tau`` bits.
+
+    Pairs within ``sure`` bits (tau, if not given) are links. Pairs beyond, up
+    to ``unsure`` bits, are links if ``verify`` keeps them. Pairs beyond
+    ``tau`` are found where they meet, which depends on the fingerprints alone
+    and not on how nodes are numbered.
 
-    Links within ``sure`` bits (tau, if not given) come as spanning forests of
-    the pairs found; further pairs up to ``unsure`` bits come as they are, for
-    the caller to verify. Pairs beyond ``tau`` are found where they meet.
+    Links come as spanning forests. With many partitions a group would be linked
+    anew in each of them, and unsure pairs would grow with the square of its
+    size. So a few partitions are searched ahead, with one unsure pair for a
+    probe. What is linked there is contracted, and then all partitions are
+    searched for every pair of nodes that are not yet together.
     """
     spark = nodes.sparkSession
     ship(spark)
-    plan = spark.sparkContext.broadcast(make_plan(nodes, words, tau, block_rows))
+    plan = make_plan(nodes, words, tau, block_rows)
+    parts, shared = plan.parts, spark.sparkContext.broadcast(plan)
     names = [f"f{k}" for k in range(words)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    rows = nodes.select("node", *names).mapInArrow(_expand(plan, words), _ROLE_ROWS + "".join(f", {f} long" for f in names))
     sure = tau if sure is None else sure
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
-    found = dealt.mapInArrow(_linker(words, sure, max(sure, unsure or sure)), "a long, b long, sure boolean")
-    return stored(found.distinct(), "links")
+
+    def search(labelled: DataFrame, stop: int, nearest: bool) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
+        rows = labelled.select("node", "label", *names).mapInArrow(_expand(shared, words, stop), _ROLE_ROWS + "".join(f", {f} long" for f in names))
+        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
+        found = dealt.mapInArrow(_linker(shared, words, sure, max(sure, unsure or sure), nearest), "a long, b long, sure boolean")
+        pairs = stored(found.distinct(), "links")
+        certain = pairs.where("sure").select("a", "b")
+        return certain if verify is None else certain.union(verify(pairs.where("not sure").select("a", "b")))
+
+    alone = nodes.withColumn("label", F.col("node"))
+    if parts <= FIRST_PARTS:
+        return search(alone, parts, False)
+    known = components(search(alone, FIRST_PARTS, True))
+    labelled = stored(nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names), "nodes")
+    stars = labelled.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return stars.union(search(labelled, parts, False))
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, tau: int = 4, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,7 +453,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, tau: int = 4, block_ro
     """
     prints = stored(fingerprint_texts(docs, shingle=shingle, id_col=id_col, text_col=text_col), "prints")
     nodes = stored(prints.groupBy(F.col("f0").alias("node")).agg(F.min("id").alias("least")).withColumn("f0", F.col("node")), "nodes")
-    linked = components(link(nodes, 1, tau, block_rows=block_rows).select("a", "b"))
+    linked = components(link(nodes, 1, tau, block_rows=block_rows))
     labelled = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(least, "component").select(F.col("node").alias("f0"), "component_id")
@@ -422,11 +500,13 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     empty = prints.where("n = 0").select(F.col("id").alias("__id"))
     full = prints.where("n > 0")
     nodes = stored(full.groupBy(*names).agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "id")).alias("first")).select(F.col("first.id").alias("node"), F.col("first.__doc").alias("doc"), *names), "nodes")
-    links = link(nodes, words, 4 * words - 1, sure=sure, unsure=unsure)
     text = keyed.select(F.col("__id").alias("a"), F.col("__text").alias("x"))
-    pairs = links.where("not sure").select("a", "b").join(text, "a").join(text.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-    checked = map_texts(pairs, ["a", "b", "x", "y"], _jaccard(shingle, similarity), "a long, b long, ok boolean").where("ok").select("a", "b")
-    linked = components(links.where("sure").select("a", "b").union(checked))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(text, "a").join(text.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+        return map_texts(both, ["a", "b", "x", "y"], _jaccard(shingle, similarity), "a long, b long, ok boolean").where("ok").select("a", "b")
+
+    linked = components(link(nodes, words, 4 * words - 1, sure=sure, unsure=unsure, verify=similar))
     labelled = nodes.select("node", "doc").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("first"))
     return whole.join(first.select(F.col("first.node").alias("__id")).union(empty), "__id", "left_semi").select("__row.*")

@@ -11,6 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, differences
+from pyspark.sql import functions as F
 from tessella.llm import bpe_automaton, context_coder, kd_shards, mixing, quality, queries, rlz, secret_scan, shingles, simhash, sql, token_count, token_store, va_topk, xx64
 from tokenizers import Tokenizer
 
@@ -178,11 +179,30 @@ def test_drop_near_copies(spark, odd, none):
     got = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
     assert len(got ^ want) <= 0.1 * len(want)
     assert got <= set(range(len(texts))) and want - got == set()
+    # the same documents in another order and other partitions: the same are kept
+    assert {r.doc_id for r in simhash.drop_near_copies(docs.orderBy(F.desc("doc_id")).repartition(7)).collect()} == got
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns and {None, ""} <= {r.text for r in kept.collect()}
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_links_of_a_large_group(spark):
+    """A group of near copies takes a few links for each member, not some in every partition, and comes out as one."""
+    r = np.random.default_rng(3)
+    n, words = 2000, 8
+    prints = np.tile(r.integers(0, 1 << 63, (1, words), np.uint64), (n, 1))
+    for i in range(1, n):
+        for bit in r.choice(64 * words, 4, replace=False):
+            prints[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = [(i, *p) for i, p in enumerate(prints.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"f{k} long" for k in range(words)))
+    for sure, seen in ((31, []), (2, [])):
+        verify = lambda pairs: [seen.append(pairs.count()), pairs][1]  # noqa: E731, B023
+        found = simhash.link(nodes, words, 4 * words - 1, sure=sure, unsure=40, verify=verify).collect()
+        assert len(found) <= (simhash.FIRST_PARTS + 2) * n and sum(seen) <= 0.02 * n * n
+        assert set(components_of(n, [(x.a, x.b) for x in found])) == {0}
+
+
 def test_sql_oracles(spark):
     con = connect(SF)
     for name, text in sql.oracle_sql().items():
