@@ -104,7 +104,44 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, p: s + p)
 
 
+def _with(a: Column, value: Column, f) -> Column:
+    """``f`` of each component and one value, which is computed once for the vector, not for each component."""
+    return F.zip_with(a, F.array_repeat(value, F.size(a)), f)
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
 def softmax(a: Column) -> Column:
     """Differences to the largest component are clipped to [-86, 0]."""
-    e = F.transform(a, lambda x: F.exp(F.greatest(x - F.array_max(a), F.lit(-86.0))))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, p: s + p))
+    e = _with(a, F.array_max(a), lambda x, top: F.exp(F.greatest(x - top, F.lit(-86.0))))
+    return _with(e, _total(e), lambda x, total: x / total)
+
+
+def unit_l2(a: Column) -> Column:
+    """A vector over its length; null components where the length is 0."""
+    return _with(a, F.sqrt(dot(a, a)), lambda x, n: F.try_divide(x, n))
+
+
+def unit_range(a: Column) -> Column:
+    """Components moved and scaled to [0, 1]; null where all are equal."""
+    moved = _with(a, F.array_min(a), lambda x, low: x - low)
+    return _with(moved, F.array_max(a) - F.array_min(a), lambda x, span: F.try_divide(x, span))
+
+
+def z_scores(a: Column, eps: float = 1e-9) -> Column:
+    """Components less their mean, over the sample deviation plus ``eps``."""
+    moved = _with(a, _total(a) / F.size(a), lambda x, mean: x - mean)
+    return _with(moved, F.sqrt(F.try_divide(dot(moved, moved), F.size(a) - 1)), lambda x, spread: x / (spread + eps))
+
+
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """8-bit hue (43 for a sixth of a turn), saturation and value back to channels; products are shifted, not divided."""
+    part = F.floor(h / 43).cast("int")
+    rest = (h - part * 43) * 6
+    p = F.shiftright(v * (255 - s), 8)
+    q = F.shiftright(v * (255 - F.shiftright(s * rest, 8)), 8)
+    t = F.shiftright(v * (255 - F.shiftright(s * (255 - rest), 8)), 8)
+    pick = lambda *six: F.when(s == 0, v).otherwise(F.get(F.array(*six), F.least(part, F.lit(5))))
+    return pick(v, q, p, p, t, v), pick(t, v, v, q, p, p), pick(p, p, t, v, v, q)

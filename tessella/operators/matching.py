@@ -10,7 +10,8 @@ from tessella.functions import pixel
 #: Queries that are sent to all executors together.
 QUERY_BLOCK = 1024
 
-METRICS = {"euclidean": pixel.squared_l2, "manhattan": pixel.manhattan, "angular": lambda a, b: 2.0 - 2.0 * F.try_divide(pixel.dot(a, b), F.sqrt(pixel.dot(a, a) * pixel.dot(b, b)))}
+#: For ``hamming``, e is a long of bits.
+METRICS = {"hamming": lambda a, b: F.bit_count(a.bitwiseXOR(b)), "euclidean": pixel.squared_l2, "manhattan": pixel.manhattan, "angular": lambda a, b: 2.0 - 2.0 * F.try_divide(pixel.dot(a, b), F.sqrt(pixel.dot(a, a) * pixel.dot(b, b)))}
 
 
 def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -60,3 +61,24 @@ def rbf_scores(vectors: DataFrame, support: list[tuple[list[float], float]], gam
     for t in terms:
         total = total + t
     return vectors.select("vec_id", total.alias("score"))
+
+
+def sign_bits(e: Column, dims: int = 64) -> Column:
+    """Signs of up to 64 components as bits of a long, the first component lowest."""
+    bit = lambda i: F.when(F.get(e, F.lit(i)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    out = bit(0)
+    for i in range(1, dims):
+        out = out.bitwiseOR(bit(i))
+    return out
+
+
+def cross_check(matches: DataFrame) -> DataFrame:
+    """Pairs (query_id, vec_id, distance) that are each other's best match."""
+    best = matches.where("rank = 1").select("query_id", "vec_id", "distance")
+    back = best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("query_id"))
+    return best.join(back, ["query_id", "vec_id"], "left_semi").select("query_id", "vec_id", "distance")
+
+
+def away_from_border(px: DataFrame, width: int, height: int, border: int) -> DataFrame:
+    """Rows at least ``border`` cells inside the image."""
+    return px.where((F.col("x") >= border) & (F.col("x") + border < width) & (F.col("y") >= border) & (F.col("y") + border < height))

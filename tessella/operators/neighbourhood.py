@@ -8,11 +8,15 @@ place, so one large image spreads over all tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import pixel
+from tessella.operators import regions
+
 KEY = ("img", "y", "x")
 #: Offsets of 3x3 kernels, row by row.
 NINE = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -169,3 +173,107 @@ def warp_affine(px: DataFrame, m: Sequence[float], width: int, height: int, defa
     at = grid.withColumn("sx", F.floor(m[0] * F.col("x") + m[1] * F.col("y") + m[2] + 0.5).cast("int")).withColumn("sy", F.floor(m[3] * F.col("x") + m[4] * F.col("y") + m[5] + 0.5).cast("int"))
     src = px.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
     return at.join(src, ["img", "sy", "sx"], "left").select(*KEY, F.coalesce("v", F.lit(default)).alias("v"))
+
+
+def gaussian_kernel(size: int, sigma: float) -> list[float]:
+    """A normalised one-dimensional bell; ``size`` must be odd."""
+    if size % 2 == 0:
+        raise ValueError("the size must be odd")
+    raw = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) for i in range(size)]
+    return [r / sum(raw) for r in raw]
+
+
+def separable(px: DataFrame, kernel: Sequence[float]) -> DataFrame:
+    """A kernel along rows, then the same along columns; result s."""
+    half = len(kernel) // 2
+    rows = correlate(px, [(0, i - half) for i in range(len(kernel))], kernel)
+    return correlate(rows, [(i - half, 0) for i in range(len(kernel))], kernel, value="s")
+
+
+def canny(px: DataFrame, low: int, high: int) -> DataFrame:
+    """Edge pixels: |gx| + |gy| of the Sobel kernel, thinned across the edge, then kept by hysteresis.
+
+    A pixel survives thinning if neither neighbour along its gradient is greater; gradients
+    within 22.5 degrees of an axis are compared along it, others along the diagonal.
+    """
+    g = gradients(px, "sobel").withColumn("v", F.abs("gx") + F.abs("gy"))
+    around = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"n{k}") for k in range(9)]
+    near = scatter(g, NINE).groupBy(*KEY).agg(*around).where("n4 IS NOT NULL").join(g.select(*KEY, "gx", "gy"), list(KEY))
+    ax, ay = F.abs("gx"), F.abs("gy")
+    pair = lambda a, b: F.greatest(F.coalesce(f"n{a}", F.lit(0)), F.coalesce(f"n{b}", F.lit(0)))
+    flat, steep = ay < ax * 0.41421356237309503, ay > ax * 2.414213562373095
+    rival = F.when(flat, pair(3, 5)).when(steep, pair(1, 7)).when((F.col("gx") > 0) == (F.col("gy") > 0), pair(0, 8)).otherwise(pair(2, 6))
+    thin = near.where(rival <= F.col("n4")).select(*KEY, F.col("n4").alias("v"))
+    return regions.hysteresis(thin, low, high)
+
+
+def resize_bicubic(px: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """Cubic Hermite scaling over 4x4 pixels, clamped at the borders; missing cells are 0, output is cut to 0..255."""
+    sy, sx = height / (to_height - 1), width / (to_width - 1)
+    grid = px.select("img").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
+    for c, s in (("y", sy), ("x", sx)):
+        grid = grid.withColumn(f"i{c}", ((F.col(c) + 0.5) * s - 0.5).cast("int")).withColumn(f"f{c}", (F.col(c) + 0.5) * s - 0.5 - F.col(f"i{c}"))
+
+    def weight(t: Column, k: int) -> Column:
+        return [(-t * t * t + 2 * t * t - t) / 2, (3 * t * t * t - 5 * t * t + 2) / 2, (-3 * t * t * t + 4 * t * t + t) / 2, (t * t * t - t * t) / 2][k]
+
+    at = lambda c, k, most: F.greatest(F.least(F.col(f"i{c}") + (k - 1), F.lit(most - 1)), F.lit(0))
+    taps = F.array(*[F.struct(at("y", a, height).alias("sy"), at("x", b, width).alias("sx"), (weight(F.col("fy"), a) * weight(F.col("fx"), b)).alias("w")) for a in range(4) for b in range(4)])
+    need = grid.withColumn("c", F.explode(taps)).select(*KEY, "c.*")
+    src = px.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    total = F.round(F.sum(F.col("w") * F.coalesce("v", F.lit(0))), 6)
+    return need.join(src, ["img", "sy", "sx"], "left").groupBy(*KEY).agg(F.floor(F.least(F.greatest(total, F.lit(0.0)), F.lit(255.0))).cast("int").alias("v"))
+
+
+def pyramid(px: DataFrame, width: int, height: int, factor: float = 0.83, levels: int = 8) -> DataFrame:
+    """Each level is the original, scaled by a power of ``factor``; level 0 is the original. Columns img, level, y, x, v."""
+    out = None
+    for n in range(levels):
+        w, h = max(1, int(width * factor**n)), max(1, int(height * factor**n))
+        level = px if n == 0 else resize_bilinear(px, width, height, w, h)
+        level = level.select("img", F.lit(n).alias("level"), "y", "x", "v")
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
+def remap_bilinear(px: DataFrame, table: DataFrame, width: int, height: int, to_width: int, to_height: int, default: int = 0) -> DataFrame:
+    """Reads each output pixel (y, x) at the place (sy, sx) that a table names; outside, ``default``.
+
+    The table applies to every image; cells it lacks are not put out.
+    """
+    grid = px.select("img").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
+    each = grid.join(table.select("y", "x", "sy", "sx"), ["y", "x"])
+    inside = (F.col("sy") >= 0) & (F.col("sy") <= height - 1) & (F.col("sx") >= 0) & (F.col("sx") <= width - 1)
+    at = each.withColumn("iy", F.floor("sy").cast("int")).withColumn("ix", F.floor("sx").cast("int")).withColumn("inside", inside)
+    fy, fx = F.col("sy") - F.col("iy"), F.col("sx") - F.col("ix")
+    corner = lambda a, b: F.struct(F.least(F.col("iy") + a, F.lit(height - 1)).alias("cy"), F.least(F.col("ix") + b, F.lit(width - 1)).alias("cx"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w"))
+    need = at.withColumn("c", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)]))).select(*KEY, "inside", "c.*")
+    src = px.select("img", F.col("y").alias("cy"), F.col("x").alias("cx"), "v")
+    sums = need.join(src, ["img", "cy", "cx"], "left").groupBy(*KEY).agg(F.first("inside").alias("inside"), F.sum(F.col("w") * F.coalesce("v", F.lit(0))).alias("s"))
+    return sums.select(*KEY, F.when(F.col("inside"), F.floor(F.round("s", 6)).cast("int")).otherwise(default).alias("v"))
+
+
+def patch_orientation(px: DataFrame, diameter: int) -> DataFrame:
+    """First moments (m10, m01) of the disc around each pixel and the direction of their sum, in degrees [0, 360)."""
+    r = diameter // 2
+    disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
+    s = scatter(px, disc).withColumn("dy", F.get(F.array(*[F.lit(d[0]) for d in disc]), F.col("k"))).withColumn("dx", F.get(F.array(*[F.lit(d[1]) for d in disc]), F.col("k")))
+    m = s.groupBy(*KEY).agg(F.sum(F.col("v") * F.col("dx")).alias("m10"), F.sum(F.col("v") * F.col("dy")).alias("m01"), _own(disc).alias("own"))
+    return m.where("own").select(*KEY, "m10", "m01", pixel.degrees_of(F.col("m01").cast("double"), F.col("m10").cast("double")).alias("angle"))
+
+
+def hough_peaks(votes: DataFrame, most: int) -> DataFrame:
+    """Lines with no greater neighbour in (rho, t); of each image's, the ``most`` strongest, ties to smaller rho, then t."""
+    p = votes.select("img", F.col("rho").alias("y"), F.col("t").alias("x"), F.col("votes").alias("v"))
+    n = scatter(p, NINE).groupBy(*KEY).agg(F.max(F.when(F.col("k") == 4, F.col("v"))).alias("votes"), F.max("v").alias("top")).where("votes = top")
+    rank = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("votes"), "y", "x"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= most).select("img", F.col("y").alias("rho"), F.col("x").alias("t"), "votes")
+
+
+def to_segments(lines: DataFrame, width: int, height: int, angles: int = 180) -> DataFrame:
+    """Polar lines (rho, t) as end points over the image's width; upright lines (t = 0) run from top to bottom."""
+    theta = F.radians(F.col("t") * (180.0 / angles))
+    y = lambda x: (F.col("rho") - x * F.cos(theta)) / F.sin(theta)
+    up, rho = F.col("t") == 0, F.col("rho").cast("double")
+    pick = lambda a, b, name: F.when(up, a).otherwise(b).alias(name)
+    return lines.select(*lines.columns, pick(rho, F.lit(0.0), "x0"), pick(F.lit(0.0), y(0.0), "y0"), pick(rho, F.lit(float(width)), "x1"), pick(F.lit(float(height)), y(float(width)), "y1"))

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pixel as P
 from tessella.operators import aggregates as A
+from tessella.operators import camera as C
 from tessella.operators import matching as M
 from tessella.operators import neighbourhood as N
 from tessella.operators import regions as R
+from tessella.operators import spectral as S
 from tessella.sources import fixtures as X
-from tessella.sources import matrices
+from tessella.sources import images, matrices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -294,6 +296,12 @@ def _morph_sql(op: str) -> str:
     one = lambda src, f: f"SELECT a.img, a.y, a.x, {f}(b.v) AS v FROM {src} a JOIN {src} b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 {cond} GROUP BY 1, 2, 3"
     if op in ("erode", "dilate"):
         return f"{PX} {one('raster', 'min' if op == 'erode' else 'max')}"
+    if op == "gradient":
+        return f"{PX} {one('raster', 'max').replace('max(b.v)', 'max(b.v) - min(b.v)')}"
+    if op in ("tophat", "blackhat"):
+        v = "r.v - o.v" if op == "tophat" else "o.v - r.v"
+        f, g = ("min", "max") if op == "tophat" else ("max", "min")
+        return f"{PX}, s AS ({one('raster', f)}), o AS ({one('s', g)}) SELECT r.img, r.y, r.x, {v} AS v FROM raster r JOIN o USING (img, y, x)"
     f, g = ("min", "max") if op == "open" else ("max", "min")
     return f"{PX}, s AS ({one('raster', f)}) {one('s', g)}"
 
@@ -352,6 +360,94 @@ def warp_affine(spark, sf_dir):
     return N.warp_affine(X.raster(spark, sf_dir), [0.75, -0.5, 8.0, 0.5, 0.75, -4.0], 32, 32)
 
 
+for _name in ("gradient", "tophat", "blackhat"):
+    _morph(_name)
+
+
+_BELL = ", ".join(f"({i - 2}, {w!r}::DOUBLE)" for i, w in enumerate(N.gaussian_kernel(5, 2.0)))
+
+
+@register(f"""{PX}, bell(d, w) AS (VALUES {_BELL}), h AS (SELECT a.img, a.y, a.x, sum(b.v * w) AS s FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y JOIN bell ON b.x = a.x + d GROUP BY 1, 2, 3)
+SELECT a.img, a.y, a.x, round(sum(b.s * w), 4) AS v FROM h a JOIN h b ON a.img = b.img AND a.x = b.x JOIN bell ON b.y = a.y + d GROUP BY 1, 2, 3""")
+def gaussian_blur(spark, sf_dir):
+    return N.separable(X.raster(spark, sf_dir), N.gaussian_kernel(5, 2.0)).select("img", "y", "x", F.round("s", 4).alias("v"))
+
+
+_THIN = f"""g AS (SELECT a.img, a.y, a.x, sum(b.v * (b.x - a.x) * (CASE WHEN b.y = a.y THEN 2 ELSE 1 END)) AS gx, sum(b.v * (b.y - a.y) * (CASE WHEN b.x = a.x THEN 2 ELSE 1 END)) AS gy {_NB} GROUP BY 1, 2, 3),
+m AS (SELECT *, abs(gx) + abs(gy) AS v, CASE WHEN abs(gy) < abs(gx) * 0.41421356237309503::DOUBLE THEN 0 WHEN abs(gy) > abs(gx) * 2.414213562373095::DOUBLE THEN 1 WHEN (gx > 0) = (gy > 0) THEN 2 ELSE 3 END AS way FROM g),
+p AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, a.img * 10000 + a.y * 100 + a.x AS id FROM m a LEFT JOIN m b ON a.img = b.img AND ((a.way = 0 AND b.y = a.y AND abs(b.x - a.x) = 1) OR (a.way = 1 AND b.x = a.x AND abs(b.y - a.y) = 1)
+  OR (a.way = 2 AND abs(b.x - a.x) = 1 AND b.y - a.y = b.x - a.x) OR (a.way = 3 AND abs(b.x - a.x) = 1 AND b.y - a.y = a.x - b.x)) WHERE a.v > 300 GROUP BY 1, 2, 3 HAVING coalesce(max(b.v), 0) <= any_value(a.v))"""
+
+
+@register(f"{PX.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_THIN}" + """, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+reach AS (SELECT id FROM p WHERE v > 600 UNION SELECT e.b FROM reach r JOIN e ON r.id = e.a) SELECT img, y, x FROM p JOIN reach USING (id)""")
+def canny_edges(spark, sf_dir):
+    return N.canny(X.raster(spark, sf_dir), 300, 600)
+
+
+_CUBIC = "(CASE k WHEN 0 THEN (-f * f * f + 2 * f * f - f) / 2 WHEN 1 THEN (3 * f * f * f - 5 * f * f + 2) / 2 WHEN 2 THEN (-3 * f * f * f + 4 * f * f + f) / 2 ELSE (f * f * f - f * f) / 2 END)"
+
+
+@register(f"""{PX}, ax AS (SELECT n, CAST(i AS INT) AS i, CAST(k AS INT) AS k, (i + 0.5::DOUBLE) * (32.0::DOUBLE / (n - 1)) - 0.5 AS p FROM (VALUES (24), (40)) AS t(n), (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 4)) AS k) WHERE i < n),
+bx AS (SELECT n, i, k, greatest(least(CAST(trunc(p) AS INT) + k - 1, 31), 0) AS c, p - trunc(p) AS f FROM ax), w AS (SELECT n, i, c, {_CUBIC} AS w FROM bx)
+SELECT i.img, a.i AS y, b.i AS x, CAST(floor(least(greatest(round(sum(a.w * b.w * coalesce(v, 0)), 6), 0.0), 255.0)) AS INT) AS v
+FROM (SELECT DISTINCT img FROM raster) i CROSS JOIN w a JOIN w b ON a.n = 24 AND b.n = 40 LEFT JOIN raster r ON r.img = i.img AND r.y = a.c AND r.x = b.c GROUP BY 1, 2, 3""")
+def resize_bicubic(spark, sf_dir):
+    return N.resize_bicubic(X.raster(spark, sf_dir), 32, 32, 40, 24)
+
+
+@register()
+def scale_pyramid(spark, sf_dir):
+    return N.pyramid(X.raster(spark, sf_dir), 32, 32, 0.83, 4)
+
+
+_LENS_SQL = "(0.2::DOUBLE * r2 + 1 - 0.05::DOUBLE * r2 * r2)"
+_MAP_SQL = f"""o AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, (x - 16.0::DOUBLE) / 40 AS u, (y - 16.0::DOUBLE) / 40 AS w FROM (SELECT unnest(range(0, 32)) AS y), (SELECT unnest(range(0, 32)) AS x)),
+q AS (SELECT *, u * u + w * w AS r2 FROM o), m AS (SELECT y, x, 40 * (u * {_LENS_SQL} + 2 * 0.01::DOUBLE * u * w + 0.02::DOUBLE * (r2 + 2 * u * u)) + 16 AS sx, 40 * (w * {_LENS_SQL} + 0.01::DOUBLE * (r2 + 2 * w * w) + 2 * 0.02::DOUBLE * u * w) + 16 AS sy FROM q)"""
+LENS = (0.2, -0.05, 0.01, 0.02)
+
+
+def _straighten(spark: SparkSession) -> DataFrame:
+    return C.undistortion_map(32, 32, (40.0, 40.0), (16.0, 16.0), LENS, spark)
+
+
+@register(f"WITH {_MAP_SQL} SELECT y, x, round(sx, 6) AS sx, round(sy, 6) AS sy FROM m")
+def undistortion_map(spark, sf_dir):
+    return _straighten(spark).select("y", "x", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"))
+
+
+@register(f"""{PX}, {_MAP_SQL}, n AS (SELECT img, m.*, CAST(floor(sy) AS INT) AS iy, CAST(floor(sx) AS INT) AS ix FROM m, (SELECT DISTINCT img FROM raster) i),
+c AS (SELECT n.*, least(iy + a, 31) AS cy, least(ix + b, 31) AS cx, (CASE WHEN a = 1 THEN sy - iy ELSE 1 - sy + iy END) * (CASE WHEN b = 1 THEN sx - ix ELSE 1 - sx + ix END) AS w FROM n, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(a, b))
+SELECT c.img, c.y, c.x, CASE WHEN any_value(sy) BETWEEN 0 AND 31 AND any_value(sx) BETWEEN 0 AND 31 THEN CAST(floor(round(sum(w * coalesce(v, 0)), 6)) AS INT) ELSE 0 END AS v FROM c LEFT JOIN raster r ON r.img = c.img AND r.y = c.cy AND r.x = c.cx GROUP BY 1, 2, 3""")
+def undistort_image(spark, sf_dir):
+    return N.remap_bilinear(X.raster(spark, sf_dir), _straighten(spark), 32, 32, 32, 32)
+
+
+@register(f"""{PX} SELECT a.img, a.y, a.x, sum(b.v * (b.x - a.x))::BIGINT AS m10, sum(b.v * (b.y - a.y))::BIGINT AS m01, round(fmod(degrees(atan2(sum(b.v * (b.y - a.y))::DOUBLE, sum(b.v * (b.x - a.x))::DOUBLE)) + 360.0, 360.0), 6) + 0.0 AS angle
+FROM raster a JOIN raster b ON a.img = b.img AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9 GROUP BY 1, 2, 3""")
+def patch_orientation(spark, sf_dir):
+    return N.patch_orientation(X.raster(spark, sf_dir), 7).withColumn("angle", r6(F.col("angle")))
+
+
+_VOTES = f"""{PX}, votes AS (SELECT img, CAST(floor(x * cos(radians(t * 1.0::DOUBLE)) + y * sin(radians(t * 1.0::DOUBLE)) + 0.5 + 1e-9) AS INT) AS rho, CAST(t AS INT) AS t, count(*) AS votes
+FROM raster, (SELECT unnest(range(0, 180)) AS t) WHERE v > 200 GROUP BY 1, 2, 3 HAVING count(*) > 5),
+peak AS (SELECT a.* FROM votes a JOIN votes b ON a.img = b.img AND abs(a.rho - b.rho) <= 1 AND abs(a.t - b.t) <= 1 GROUP BY ALL HAVING max(b.votes) = a.votes),
+top AS (SELECT * FROM peak QUALIFY row_number() OVER (PARTITION BY img ORDER BY votes DESC, rho, t) <= 10)"""
+
+
+@register(_VOTES + """ SELECT img, rho, t, votes, round(CASE WHEN t = 0 THEN rho ELSE 0.0::DOUBLE END, 4) AS x0, round(CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE rho / sin(radians(t::DOUBLE)) END, 4) AS y0,
+  round(CASE WHEN t = 0 THEN rho ELSE 32.0::DOUBLE END, 4) AS x1, round(CASE WHEN t = 0 THEN 32.0::DOUBLE ELSE (rho - 32 * cos(radians(t::DOUBLE))) / sin(radians(t::DOUBLE)) END, 4) AS y1 FROM top""")
+def hough_segments(spark, sf_dir):
+    lines = N.hough_peaks(N.hough_lines(X.raster(spark, sf_dir).where("v > 200")), 10)
+    s = N.to_segments(lines, 32, 32)
+    return s.select("img", "rho", "t", "votes", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@register(f"{PX}, b AS (SELECT * FROM raster WHERE y BETWEEN 5 AND 26 AND x BETWEEN 5 AND 26) SELECT img, y, x, v FROM b")
+def erase_border(spark, sf_dir):
+    return M.away_from_border(X.raster(spark, sf_dir), 32, 32, 5)
+
+
 # matching
 
 def _nearest_sql(distance: str, k: int) -> str:
@@ -392,6 +488,113 @@ def kernel_machine_scores(spark, sf_dir):
     return s.select("vec_id", F.round("score", 6).alias("score"))
 
 
+def _bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.vectors(spark, sf_dir).select("vec_id", M.sign_bits(F.col("e")).alias("e"))
+
+
+_BITS_SQL = f"""{VEC}, bits AS (SELECT vec_id, list_transform(e, lambda a: CASE WHEN a > 0 THEN 1 ELSE 0 END) AS e FROM vec)"""
+_HAM = "list_sum(list_transform(range(1, 65), lambda i: xor(q.e[i], t.e[i])))"
+
+
+def _hamming_sql(queries: str, k: int) -> str:
+    return f"""{_BITS_SQL}, p AS (SELECT q.vec_id AS query_id, t.vec_id, CAST({_HAM} AS INT) AS distance FROM bits q JOIN bits t ON {queries} AND q.vec_id <> t.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM p), near AS (SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= {k})"""
+
+
+@register(_hamming_sql("q.vec_id % 20 = 0", 2) + " SELECT * FROM near")
+def hamming_matches(spark, sf_dir):
+    b = _bits(spark, sf_dir)
+    return M.nearest(b, b.where("vec_id % 20 = 0"), 2, "hamming")
+
+
+@register(_hamming_sql("q.vec_id % 20 = 0 AND t.vec_id % 20 = 0", 1) + " SELECT a.query_id, a.vec_id, a.distance FROM near a JOIN near b ON a.vec_id = b.query_id AND b.vec_id = a.query_id")
+def cross_checked_matches(spark, sf_dir):
+    b = _bits(spark, sf_dir).where("vec_id % 20 = 0")
+    return M.cross_check(M.nearest(b, b, 1, "hamming"))
+
+
+# vectors, matrices and cameras
+
+@register(f"""{VEC}, m AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l, list_min(e) AS low, list_max(e) AS high, list_avg(e) AS a, sqrt(list_sum(list_transform(e, lambda x: pow(x - list_avg(e), 2))) / (len(e) - 1)) AS sd FROM vec)
+SELECT vec_id, CAST(i AS INT) AS i, round(e[i + 1] / l, 6) + 0.0 AS l2, round((e[i + 1] - low) / (high - low), 6) + 0.0 AS minmax, round((e[i + 1] - a) / (sd + 1e-9), 5) + 0.0 AS z FROM m, (SELECT unnest(range(0, 64)) AS i)""")
+def normalised_vectors(spark, sf_dir):
+    e = F.col("e")
+    n = X.vectors(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(P.unit_l2(e).alias("l2"), P.unit_range(e).alias("minmax"), P.z_scores(e).alias("z"))).alias("i", "c"))
+    return n.select("vec_id", "i", r6(F.col("c.l2")).alias("l2"), r6(F.col("c.minmax")).alias("minmax"), (F.round("c.z", 5) + F.lit(0.0)).alias("z"))
+
+
+_SIX = "(h - (h // 43) * 43) * 6"
+_Q, _T, _P = f"((v * (255 - ((s * {_SIX}) >> 8))) >> 8)", f"((v * (255 - ((s * (255 - {_SIX})) >> 8))) >> 8)", "((v * (255 - s)) >> 8)"
+
+
+def _six(*c: str) -> str:
+    return "CASE WHEN s = 0 THEN v " + " ".join(f"WHEN h // 43 = {i} THEN {x}" for i, x in enumerate(c[:5])) + f" ELSE {c[5]} END"
+
+
+@register(f"""{RGB}, hsv AS (SELECT r AS h, g AS s, b AS v FROM rgb) SELECT h, s, v, {_six("v", _Q, _P, _P, _T, "v")} AS r, {_six(_T, "v", "v", _Q, _P, _P)} AS g, {_six(_P, _P, _T, "v", "v", _Q)} AS b FROM hsv""")
+def hsv_to_rgb(spark, sf_dir):
+    r, g, b = P.hsv_to_rgb(F.col("r"), F.col("g"), F.col("b"))
+    return X.colours(spark, sf_dir).select(F.col("r").alias("h"), F.col("g").alias("s"), F.col("b").alias("v"), r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@register(f"{PT} SELECT set_id, i, round(x / 100, 6) AS wx, round(y / 2000, 6) AS wy, round(-0.3::DOUBLE, 6) AS wz FROM pt")
+def rotation_round_trip(spark, sf_dir):
+    m = C.rotation_matrix(F.col("x") / 100, F.col("y") / 2000, F.lit(-0.3))
+    back = C.rotation_vector(m)
+    return X.points(spark, sf_dir).select("set_id", "i", *[F.round(c, 6).alias(n) for c, n in zip(back, ("wx", "wy", "wz"), strict=True)])
+
+
+@register(f"""{PT}, c AS (SELECT set_id, i, (x * cos(0.1) + 1 * sin(0.1)) / 50 AS px, y / 2000 AS py, 3 - (x * sin(0.1) - 1 * cos(0.1)) / 50 AS pz FROM pt), d AS (SELECT set_id, i, px / pz AS a, py / pz AS b FROM c), q AS (SELECT *, a * a + b * b AS r2 FROM d)
+SELECT set_id, i, round(500 * (a * {_LENS_SQL} + 2 * 0.01 * a * b + 0.02 * (r2 + 2 * a * a)) + 320, 5) AS u, round(480 * (b * {_LENS_SQL} + 0.01 * (r2 + 2 * b * b) + 2 * 0.02 * a * b) + 240, 5) AS v FROM q""")
+def camera_projection(spark, sf_dir):
+    turn = C.rotation_matrix(F.lit(0.0), F.lit(0.1), F.lit(0.0))
+    u, v = C.project([F.col("x") / 50, F.col("y") / 2000, F.lit(1 / 50)], turn, (0.0, 0.0, 3.0), (500.0, 480.0), (320.0, 240.0), lens=LENS)
+    return X.points(spark, sf_dir).select("set_id", "i", F.round(u, 5).alias("u"), F.round(v, 5).alias("v"))
+
+
+_H = [2.0, 0.1, 3.0, 0.5, 1.5, -2.0, 0.0001, 0.0002, 1.0]
+
+
+@register(f"{PT}, k AS (SELECT set_id FROM pt GROUP BY 1 HAVING count(*) >= 6), h(i, v) AS (VALUES {', '.join(f'({i}, {v}::DOUBLE)' for i, v in enumerate(_H))}) SELECT set_id, i, round(v, 2) AS v FROM k, h")
+def homography_recovered(spark, sf_dir):
+    pt = X.points(spark, sf_dir)
+    sets = pt.groupBy("set_id").count().where("count >= 6").select("set_id")
+    u, v = P.perspective(_H, F.col("x"), F.col("y"))
+    h = C.homography(pt.join(sets, "set_id").withColumn("u", u).withColumn("v", v), "set_id")
+    return h.select("set_id", F.posexplode("h").alias("i", "v")).select("set_id", "i", r6(F.round("v", 2)).alias("v"))
+
+
+@register(f"""{PX}, m AS (SELECT img, max(CASE WHEN y = 0 AND x = 0 THEN v END) AS a, max(CASE WHEN y = 0 AND x = 1 THEN v END) AS b, max(CASE WHEN y = 1 AND x = 0 THEN v END) AS c, max(CASE WHEN y = 1 AND x = 1 THEN v END) AS d FROM raster GROUP BY 1)
+SELECT img, round(d / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r0, round(-b / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r1, round(-c / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r3, round(a / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r4 FROM m""")
+def matrix_inverse(spark, sf_dir):
+    cell = lambda y, x: F.max(F.when((F.col("y") == y) & (F.col("x") == x), F.col("v").cast("double")))
+    m = X.raster(spark, sf_dir).groupBy("img").agg(cell(0, 0).alias("a"), cell(0, 1).alias("b"), cell(1, 0).alias("c"), cell(1, 1).alias("d"))
+    z = F.lit(0.0)
+    inv = C.inverse_3x3([F.col("a"), F.col("b"), z, F.col("c"), F.col("d"), z, z, z, F.lit(1.0)])
+    return m.select("img", *[r6(inv[k]).alias(f"r{k}") for k in (0, 1, 3, 4)])
+
+
+@register()
+def fit_line_robust(spark, sf_dir):
+    return C.fit_line_robust(X.points(spark, sf_dir), "set_id", within=5.0)
+
+
+@register()
+def principal_components(spark, sf_dir):
+    return S.principal_components(X.vectors(spark, sf_dir), 64, 8)
+
+
+@register()
+def pca_projection(spark, sf_dir):
+    v = X.vectors(spark, sf_dir)
+    return S.project_components(v, S.principal_components(v, 64, 8), 64)
+
+
+@register()
+def singular_values(spark, sf_dir):
+    return S.singular_values(X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), "v"), "img")
+
+
 # regions
 
 _MASK = f"""{PX}, p AS (SELECT img, y, x, img * 10000 + y * 100 + x AS id FROM raster WHERE v > 150)"""
@@ -422,3 +625,16 @@ def hysteresis(spark, sf_dir):
 def matrix_json_round_trip(spark, sf_dir):
     cells = X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), F.col("v").cast("double").alias("v"))
     return matrices.from_matrix_json(matrices.to_matrix_json(cells, ["img"])).where("v > 0")
+
+
+_DENSE = f"""{PX}, g AS (SELECT img, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT img, max(y) AS my, max(x) AS mx FROM raster GROUP BY 1), (SELECT unnest(range(0, 32)) AS y), (SELECT unnest(range(0, 32)) AS x) WHERE y <= my AND x <= mx)"""
+
+
+@register(f"{_DENSE} SELECT g.img, g.y, g.x, 0 AS c, coalesce(v, 0) AS v FROM g LEFT JOIN raster USING (img, y, x)")
+def png_round_trip(spark, sf_dir):
+    return images.decode(images.encode(X.raster(spark, sf_dir), "png"), "png")
+
+
+@register(f"{_DENSE} SELECT g.img, g.y, g.x, CAST(c AS INT) AS c, coalesce(v, 0) AS v FROM g LEFT JOIN raster USING (img, y, x), (SELECT unnest(range(0, 3)) AS c)")
+def bmp_round_trip(spark, sf_dir):
+    return images.decode(images.encode(X.raster(spark, sf_dir), "bmp"), "bmp")
