@@ -55,13 +55,20 @@ def yuv_to_rgb(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]
 
 
 def rgb_to_hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """8-bit hue with 43 for a sixth of a turn, saturation and value; products divide toward zero."""
+    """8-bit hue with 43 for a sixth of a turn, saturation and value.
+
+    Quotients are single-precision products with a rounded reciprocal, rounded
+    to the nearest integer, halves away from zero; the hue wraps at 256.
+    """
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     span = top - low
-    part = lambda a, c: F.try_divide((43 * (a - c)).cast("double"), span).cast("int")
-    h = F.when(span == 0, 0).when(top == r, part(g, b)).when(top == g, 85 + part(b, r)).otherwise(171 + part(r, g))
-    s = F.when(top == 0, 0).otherwise(F.try_divide((255 * span).cast("double"), top).cast("int"))
-    return F.pmod(h, F.lit(256)), s, top
+
+    def scaled(a: Column, full: float, by: Column) -> Column:
+        step = F.lit(full).cast("float") * F.try_divide(F.lit(1.0), by.cast("double")).cast("float")
+        return round_away(F.coalesce(a.cast("float") * step, F.lit(0.0).cast("float")).cast("double")).cast("int")
+
+    h = F.when(top == r, scaled(g - b, 43.0, span)).when(top == g, 85 + scaled(b - r, 43.0, span)).otherwise(171 + scaled(r - g, 43.0, span))
+    return F.pmod(h, F.lit(256)), scaled(span, 255.0, top), top
 
 
 def to_565(r: Column, g: Column, b: Column) -> Column:

@@ -119,9 +119,13 @@ def yuv_to_rgb(spark, sf_dir):
     return X.colours(spark, sf_dir).select(F.col("r").alias("y"), F.col("g").alias("u"), F.col("b").alias("v"), r.alias("red"), g.alias("green"), b.alias("blue"))
 
 
+_NEAREST = "trunc(q::DOUBLE + (CASE WHEN q >= 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END))"
+
+
 @register(f"""{RGB}, m AS (SELECT *, greatest(r, g, b) AS t, greatest(r, g, b) - least(r, g, b) AS d FROM rgb),
-h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN t = r THEN trunc(43.0 * (g - b) / d) WHEN t = g THEN 85 + trunc(43.0 * (b - r) / d) ELSE 171 + trunc(43.0 * (r - g) / d) END AS hh FROM m)
-SELECT r, g, b, CAST((CAST(hh AS INT) + 256) % 256 AS INT) AS h, CASE WHEN t = 0 THEN 0 ELSE CAST(trunc(255.0 * d / t) AS INT) END AS s, t AS v FROM h""")
+h AS (SELECT *, CASE WHEN t = r THEN g - b WHEN t = g THEN b - r ELSE r - g END AS diff, CASE WHEN t = r THEN 0 WHEN t = g THEN 85 ELSE 171 END AS off FROM m),
+q AS (SELECT *, CASE WHEN d = 0 THEN 0::FLOAT ELSE diff::FLOAT * (43::FLOAT * (1.0::DOUBLE / d)::FLOAT) END AS qh, CASE WHEN t = 0 THEN 0::FLOAT ELSE d::FLOAT * (255::FLOAT * (1.0::DOUBLE / t)::FLOAT) END AS qs FROM h)
+SELECT r, g, b, CAST((CAST({_NEAREST.replace('q', 'qh')} AS INT) + off + 256) % 256 AS INT) AS h, CAST({_NEAREST.replace('q', 'qs')} AS INT) AS s, t AS v FROM q""")
 def rgb_to_hsv(spark, sf_dir):
     h, s, v = P.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b"))
     return X.colours(spark, sf_dir).select("r", "g", "b", h.alias("h"), s.alias("s"), v.alias("v"))

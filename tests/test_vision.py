@@ -94,3 +94,10 @@ def test_pyramid_sizes(spark):
     px = spark.range(64).select(F.lit(1).alias("img"), F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), F.lit(9).alias("v"))
     got = {r["level"]: (r["n"], r["low"], r["high"]) for r in neighbourhood.pyramid(px, 8, 8, 0.5, 3).groupBy("level").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
     assert got == {0: (64, 9, 9), 1: (16, 9, 9), 2: (4, 9, 9)}
+
+
+def test_hue_and_saturation_are_rounded(spark):
+    df = spark.createDataFrame([(0, 0, 0), (90, 30, 10), (10, 90, 29), (29, 10, 90), (90, 10, 30), (7, 7, 7)], "r int, g int, b int")
+    h, s, v = pixel.rgb_to_hsv(F.col("r"), F.col("g"), F.col("b"))
+    got = [tuple(r) for r in df.select(h, s, v).collect()]
+    assert got == [(0, 0, 0), (11, 227, 90), (95, 227, 90), (181, 227, 90), (245, 227, 90), (0, 0, 7)]
