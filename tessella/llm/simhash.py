@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm import shingles
+from tessella.llm import prefixes, shingles
 from tessella.llm.common import map_texts, ship, stored
 from tessella.llm.components import components, roots
 
@@ -403,7 +403,7 @@ def _linker(plan_of, words: int, sure: int, unsure: int, nearest: bool):
     return work
 
 
-def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, unsure: int | None = None, verify: Callable[[DataFrame], DataFrame] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, unsure: int | None = None, verify: Callable[[DataFrame], DataFrame] | None = None, block_rows: int = BLOCK_ROWS, ahead: bool = False) -> DataFrame:
     """Links ``a``, ``b`` that connect all nodes (``node``, ``f0``..) within ``tau`` bits.
 
     Pairs within ``sure`` bits (tau, if not given) are links. Pairs beyond, up
@@ -415,7 +415,8 @@ def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, uns
     anew in each of them, and unsure pairs would grow with the square of its
     size. So a few partitions are searched ahead, with one unsure pair for a
     probe. What is linked there is contracted, and then all partitions are
-    searched for every pair of nodes that are not yet together.
+    searched for every pair of nodes that are not yet together. With ``ahead``
+    the second search is left to the caller.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -434,6 +435,8 @@ def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, uns
         return certain if verify is None else certain.union(verify(pairs.where("not sure").select("a", "b")))
 
     alone = nodes.withColumn("label", F.col("node"))
+    if ahead:
+        return search(alone, min(parts, FIRST_PARTS), True)
     if parts <= FIRST_PARTS:
         return search(alone, parts, False)
     known = components(search(alone, FIRST_PARTS, True))
@@ -484,8 +487,10 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     Wide fingerprints find candidates. The share of bits in which two texts
     differ estimates their similarity s as acos(2 s / (1 + s)) / pi; pairs clearly above
     ``similarity`` (2.5 deviations) are links, pairs near it are checked exactly
-    on their whole texts, the others are not similar. Texts without words are
-    no copies of one another and all stay, as do null ids with unequal texts.
+    on their whole texts. What is linked so is contracted. All other pairs that
+    can be similar are found by prefix filtering (``prefixes``), which misses
+    none, and are checked exactly too. Texts without words are no copies of one
+    another and all stay, as do null ids with unequal texts.
     """
     n_bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -496,6 +501,7 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     prints = fingerprint_texts(keyed, shingle=shingle, words=words, id_col="__id", text_col="__text")
     names = [f"f{k}" for k in range(words)]
     prints = stored(prints.join(keyed.select(F.col("__id").alias("id"), "__doc"), "id"), "prints")
+    sets = prefixes.prefixes(keyed, shingle, similarity, id_col="__id", text_col="__text")
     # equal fingerprints: one node, named by its first row
     empty = prints.where("n = 0").select(F.col("id").alias("__id"))
     full = prints.where("n > 0")
@@ -506,7 +512,10 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
         both = pairs.join(text, "a").join(text.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
         return map_texts(both, ["a", "b", "x", "y"], _jaccard(shingle, similarity), "a long, b long, ok boolean").where("ok").select("a", "b")
 
-    linked = components(link(nodes, words, 4 * words - 1, sure=sure, unsure=unsure, verify=similar))
+    known = components(link(nodes, words, 4 * words - 1, sure=sure, unsure=unsure, verify=similar, ahead=True))
+    together = stored(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "nodes")
+    stars = together.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    linked = components(stars.union(similar(prefixes.candidates(sets.join(together, "node"), similarity))))
     labelled = nodes.select("node", "doc").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("first"))
     return whole.join(first.select(F.col("first.node").alias("__id")).union(empty), "__id", "left_semi").select("__row.*")

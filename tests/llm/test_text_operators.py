@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, differences
 from pyspark.sql import functions as F
-from tessella.llm import bpe_automaton, context_coder, kd_shards, mixing, quality, queries, rlz, secret_scan, shingles, simhash, sql, token_count, token_store, va_topk, xx64
+from tessella.llm import bpe_automaton, context_coder, kd_shards, mixing, prefixes, quality, queries, rlz, secret_scan, shingles, simhash, sql, token_count, token_store, va_topk, xx64
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -306,3 +306,36 @@ def test_shards(spark, odd, none):
     texts = {x.doc_id: x.text for x in docs.collect()}
     assert all(x.text_crc32 == zlib.crc32(texts[x.doc_id].encode()) and x["size"] == len(texts[x.doc_id]) + 8 for x in got)
     assert kd_shards.shard(odd, 24).count() == odd.count() and kd_shards.shard(none, 24).count() == 0
+
+
+def edited_texts(n, least, most, seed):
+    """Pairs of texts whose similarity lies around 0.8, each pair a group of its own."""
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        words = [f"w{k}x{r.randrange(10**6)}" for _ in range(r.randrange(least, most))]
+        out.append(" ".join(words))
+        for at in r.sample(range(len(words)), max(1, round(len(words) * r.uniform(0.01, 0.03)))):
+            words[at] = f"v{k}x{r.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def kept_by_brute_force(texts, similarity=0.8):
+    sets = [set(shingles.shingle_hashes(t, 5).tolist()) for t in texts]
+    by = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            by.setdefault(h, []).append(i)
+    pairs = {(i, j) for found in by.values() for i in found for j in found if j < i}
+    linked = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    return {c for c in components_of(len(texts), linked)}
+
+
+@pytest.mark.parametrize("block_rows", [20_000, 2])
+def test_near_copies_equal_brute_force(spark, monkeypatch, block_rows):
+    """Each link stands alone, so one that is missed shows; most are 32 to 101 bits apart."""
+    monkeypatch.setattr(prefixes, "BLOCK_ROWS", block_rows)
+    texts = [*edited_texts(300, 60, 300, 12), *near_texts(30, 13)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == kept_by_brute_force(texts)
