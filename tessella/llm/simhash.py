@@ -20,6 +20,7 @@ out a spanning forest of the links they find, not the pairs themselves.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -61,17 +62,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_texts(docs: DataFrame, *, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, ``f0``.. (fingerprint words) and ``n`` (shingles) of every whole text."""
+def fingerprint_texts(docs: DataFrame, *, shingle: int, words: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, ``f0``.. (fingerprint words) and ``n`` (shingles) of every whole text.
+
+    With ``distinct`` a repeated shingle counts once, and ``digest`` tells the
+    sets of shingles apart by 128 bits.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed = shingles.many_shingle_hashes(batch.column(1).to_pylist(), shingle)
+            digests = []
+            if distinct:
+                hashed = [np.unique(h) for h in hashed]
+                digests = [pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashed], pa.binary())]
             prints = [fingerprints(h, words) for h in hashed]
             columns = [pa.array([_signed(p[k]) for p in prints], pa.int64()) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([len(h) for h in hashed], pa.int64())], ["id", *[f"f{k}" for k in range(words)], "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([len(h) for h in hashed], pa.int64()), *digests], ["id", *[f"f{k}" for k in range(words)], "n", *["digest"] * distinct])
 
-    schema = "id long, " + ", ".join(f"f{k} long" for k in range(words)) + ", n long"
+    schema = "id long, " + ", ".join(f"f{k} long" for k in range(words)) + ", n long" + ", digest binary" * distinct
     return map_texts(docs, [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")], work, schema)
 
 
@@ -406,7 +415,7 @@ def _linker(plan_of, words: int, sure: int, unsure: int, nearest: bool):
 def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, unsure: int | None = None, verify: Callable[[DataFrame], DataFrame] | None = None, block_rows: int = BLOCK_ROWS, ahead: bool = False) -> DataFrame:
     """Links ``a``, ``b`` that connect all nodes (``node``, ``f0``..) within ``tau`` bits.
 
-    Pairs within ``sure`` bits (tau, if not given) are links. Pairs beyond, up
+    Pairs within ``sure`` bits (tau, if not given; -1 for none) are links. Pairs beyond, up
     to ``unsure`` bits, are links if ``verify`` keeps them. Pairs beyond
     ``tau`` are found where they meet, which depends on the fingerprints alone
     and not on how nodes are numbered.
@@ -484,35 +493,36 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     """``docs`` without near copies: of each group of documents linked by a Jaccard
     similarity of ``similarity`` or more over word shingles, the one with the smallest id stays.
 
-    Wide fingerprints find candidates. The share of bits in which two texts
-    differ estimates their similarity s as acos(2 s / (1 + s)) / pi; pairs clearly above
-    ``similarity`` (2.5 deviations) are links, pairs near it are checked exactly
-    on their whole texts. What is linked so is contracted. All other pairs that
-    can be similar are found by prefix filtering (``prefixes``), which misses
-    none, and are checked exactly too. Texts without words are no copies of one
-    another and all stay, as do null ids with unequal texts.
+    Equal sets of shingles are one node. Wide fingerprints of the sets find the
+    first candidates: the share of bits in which two differ estimates their
+    similarity s as acos(2 s / (1 + s)) / pi, and pairs beyond ``similarity`` by
+    three deviations are left out. What is linked so is contracted. All other
+    pairs that can be similar are found by prefix filtering (``prefixes``),
+    which misses none. Every candidate is checked exactly on whole texts before
+    it is a link. Texts without words are no copies of one another and all stay,
+    as do null ids with unequal texts.
     """
     n_bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     spread = float(np.sqrt(share * (1 - share) * n_bits))
-    sure, unsure = int(n_bits * share - 2.5 * spread), int(n_bits * share + 3 * spread)
+    unsure = int(n_bits * share + 3 * spread)
     whole = stored(docs.select(F.struct(*docs.columns).alias("__row"), F.monotonically_increasing_id().alias("__id")), "rows")
     keyed = whole.select("__id", F.col(f"__row.{id_col}").cast("long").alias("__doc"), F.col(f"__row.{text_col}").alias("__text"))
-    prints = fingerprint_texts(keyed, shingle=shingle, words=words, id_col="__id", text_col="__text")
+    prints = fingerprint_texts(keyed, shingle=shingle, words=words, distinct=True, id_col="__id", text_col="__text")
     names = [f"f{k}" for k in range(words)]
     prints = stored(prints.join(keyed.select(F.col("__id").alias("id"), "__doc"), "id"), "prints")
     sets = prefixes.prefixes(keyed, shingle, similarity, id_col="__id", text_col="__text")
-    # equal fingerprints: one node, named by its first row
+    # equal sets of shingles: one node, named by its first row
     empty = prints.where("n = 0").select(F.col("id").alias("__id"))
     full = prints.where("n > 0")
-    nodes = stored(full.groupBy(*names).agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "id")).alias("first")).select(F.col("first.id").alias("node"), F.col("first.__doc").alias("doc"), *names), "nodes")
+    nodes = stored(full.groupBy("digest", *names).agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "id")).alias("first")).select(F.col("first.id").alias("node"), F.col("first.__doc").alias("doc"), *names), "nodes")
     text = keyed.select(F.col("__id").alias("a"), F.col("__text").alias("x"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         both = pairs.join(text, "a").join(text.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
         return map_texts(both, ["a", "b", "x", "y"], _jaccard(shingle, similarity), "a long, b long, ok boolean").where("ok").select("a", "b")
 
-    known = components(link(nodes, words, 4 * words - 1, sure=sure, unsure=unsure, verify=similar, ahead=True))
+    known = components(link(nodes, words, 4 * words - 1, sure=-1, unsure=unsure, verify=similar, ahead=True))
     together = stored(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "nodes")
     stars = together.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     linked = components(stars.union(similar(prefixes.candidates(sets.join(together, "node"), similarity))))

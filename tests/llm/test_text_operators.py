@@ -339,3 +339,15 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, block_rows):
     texts = [*edited_texts(300, 60, 300, 12), *near_texts(30, 13)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == kept_by_brute_force(texts)
+
+
+def test_repeated_lines_make_no_copies(spark):
+    """A line repeated in two unlike texts doesn't link them; repeated in one of two equal sets it doesn't part them."""
+    r = random.Random(14)
+    word = lambda: f"w{r.randrange(10**9)}"
+    line = [word() for _ in range(21)]
+    unlike = [[word() for _ in range(2000)] + line * 100 for _ in range(2)]
+    body = [word() for _ in range(100)]
+    texts = [" ".join(w) for w in (*unlike, body + line * 2, body + line * 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {0, 1, 2} == kept_by_brute_force(texts)
