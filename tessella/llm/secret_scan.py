@@ -28,7 +28,7 @@ _LONG_HEX = re.compile(r"[0-9a-f]{24}")
 #: A credential is named, up to four joining words or signs follow, then a value.
 _CONTEXT = re.compile(
     r"""\b(?:passwords?|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?)\b["']?"""
-    r"""(?:\x20*(?:is|was|to|as|are)\b|\x20*(?::=|=>|->|[:=]))\x20*["'`]?([^\s"'`<>]{8,200})""",
+    r"""(?:\x20*(?:is|was|to|as|are)\b|\x20*(?::=|=>|->|[:=]))\x20*["'`]?([^\s"'`<>]{8,})""",
     re.IGNORECASE | re.ASCII,
 )
 _NAMED = re.compile(r"pass|pwd|secret|token|key|credential", re.IGNORECASE | re.ASCII)
@@ -70,7 +70,7 @@ def guess_cost(value: str) -> float:
     Segments: a listed word (capitals and digits for letters cost a factor of
     2 each), a date, a repeated character or group, a keyboard walk of three
     keys or more, or brute force. Each further segment costs a factor of 3.
-    The empty value costs 0.
+    The empty value costs 0. The time is linear in the length.
     """
     n = len(value)
     small = value.lower()
@@ -78,10 +78,18 @@ def guess_cost(value: str) -> float:
     per = _alphabet(value)
     best = [math.inf] * (n + 1)
     best[0] = 0.0
-    dates = {(m.start(), m.end()): 4.4 if m.end() - m.start() > 4 else 2.1 for at in range(n) if (m := _DATE.match(value, at))}
+    dates: dict[int, list[tuple[int, float]]] = {}
+    for at in range(n):
+        if m := _DATE.match(value, at):
+            dates.setdefault(m.end(), []).append((at, 4.4 if m.end() - at > 4 else 2.1))
     walks = [0] * n
+    # how many characters up to each equal those 1, 2, 3 and 4 before them
+    equal = {width: [0] * n for width in (1, 2, 3, 4)}
     for i in range(1, n):
         walks[i] = walks[i - 1] + 1 if _near(small[i - 1], small[i]) else 0
+        for width, run in equal.items():
+            if i >= width and value[i] == value[i - width]:
+                run[i] = run[i - 1] + 1
     for end in range(1, n + 1):
         # brute force, one more character
         cost = best[end - 1] + per
@@ -98,16 +106,13 @@ def guess_cost(value: str) -> float:
             start = end - 1 - run
             cost = min(cost, best[start] + math.log10(47) + 0.5 * run + 0.48 * (start > 0))
         for width in (1, 2, 3, 4):
-            start = end - width
-            times = 1
-            while start - width >= 0 and value[start - width : start] == value[end - width : end]:
-                start, times = start - width, times + 1
+            times = 1 + equal[width][end - 1] // width
+            start = end - width * times
             if times > 1 and times * width >= 3:
                 cost = min(cost, best[start] + width * per + math.log10(times) + 0.48 * (start > 0))
         best[end] = cost
-        for (start, stop), guesses in dates.items():
-            if stop == end:
-                best[end] = min(best[end], best[start] + guesses + 0.48 * (start > 0))
+        for start, guesses in dates.get(end, ()):
+            best[end] = min(best[end], best[start] + guesses + 0.48 * (start > 0))
     return best[n]
 
 

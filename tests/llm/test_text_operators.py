@@ -351,3 +351,12 @@ def test_repeated_lines_make_no_copies(spark):
     texts = [" ".join(w) for w in (*unlike, body + line * 2, body + line * 200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {0, 1, 2} == kept_by_brute_force(texts)
+
+
+def test_long_secrets_are_masked_whole():
+    r = random.Random(15)
+    for n in (201, 1200, 60_000):
+        secret = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789+/") for _ in range(n))
+        text = f"before private key: {secret} behind"
+        assert secret_scan.find_spans(text)[1] == [("guess", 20, 20 + n)]
+        assert secret_scan.redact_text(text, "[secret]") == "before private key: [secret] behind"
