@@ -9,7 +9,9 @@ brute-force spans. Values that take many guesses are reported as ``guess``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
 
@@ -25,17 +27,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24}")
-#: A credential is named, up to four joining words or signs follow, then a value.
-_CONTEXT = re.compile(
-    r"""\b(?:passwords?|passwd|pwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?)\b["']?"""
-    r"""(?:\x20*(?:is|was|to|as|are)\b|\x20*(?::=|=>|->|[:=]))\x20*["'`]?([^\s"'`<>]{8,})""",
-    re.IGNORECASE | re.ASCII,
-)
+#: A credential is named, up to four joining words or signs follow, the last of them a link, then a value.
+_NAME = re.compile(r"""\b(?:passwords?|passwd|pwd|passphrase|(?:api|access|private|secret)[ _-]?key|secret|token|credentials?)\b["']?""", re.IGNORECASE | re.ASCII)
+_LINK = re.compile(r"""\x20*(?:is|was|to|as|are)\b|\x20*(?::=|=>|->|[:=])""", re.IGNORECASE | re.ASCII)
+_JOINING = re.compile(r"""\x20+[A-Za-z]+(?:['-][A-Za-z]+)*["']?(?=[\x20:=])|\x20*(?::=|=>|->|[:=])""", re.ASCII)
+_VALUE = re.compile(r"""\x20*["'`]?([^\s"'`<>]{8,})""")
+JOINING = 4
 _NAMED = re.compile(r"pass|pwd|secret|token|key|credential", re.IGNORECASE | re.ASCII)
 
 #: log10 of the guesses from which a value counts as a secret.
 LEAST_LOG10 = 10.0
-#: Words cheap to guess, most frequent first; the rank is the number of guesses.
+#: Words cheapest to guess, most frequent first; the rank is the number of guesses. ``word_ranks`` has the others.
 COMMON_WORDS = (
     "password admin welcome login secret token master dragon monkey letmein qwerty user test guest root "
     "default change changeme example sample dummy public private access account system server database "
@@ -45,8 +47,9 @@ COMMON_WORDS = (
 ).split()
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)\d\d|(?:19|20)\d\d")
-_RANKS = {w: math.log10(2 + i) for i, w in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
+#: Vocabularies whose whole words are the word list; tokens are numbered by how frequent they are, about.
+VOCABULARIES = (("word_bpe_49k.json", "(.*)</w>"), ("byte_bpe_50k.json", "\u0120(.*)"))
+_LONGEST_WORD = 20
 _PLACE = {c: (y, x) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _LEET = str.maketrans("0134579@$!", "oieastgasi")
 
@@ -64,7 +67,25 @@ def _alphabet(part: str) -> float:
     return math.log10(max(n, 10))
 
 
-def guess_cost(value: str) -> float:
+@functools.cache
+def word_ranks() -> dict[str, float]:
+    """log10 of the guesses for each word of the list, read from the tokenizers' vocabularies."""
+    import public_tokenizers
+
+    least: dict[str, int] = {}
+    for name, whole in VOCABULARIES:
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        for token, number in vocabulary.items():
+            m = re.fullmatch(whole, token)
+            if m and 3 <= len(m[1]) <= _LONGEST_WORD and m[1].isascii() and m[1].isalpha():
+                word = m[1].lower()
+                least[word] = min(number, least.get(word, number))
+    ranks = {w: math.log10(2 + len(COMMON_WORDS) + i) for i, w in enumerate(sorted(least, key=lambda w: (least[w], w)))}
+    return ranks | {w: math.log10(2 + i) for i, w in enumerate(COMMON_WORDS)}
+
+
+def guess_cost(value: str, ranks: dict[str, float] | None = None) -> float:
     """log10 of the least guesses that a segmentation of ``value`` takes.
 
     Segments: a listed word (capitals and digits for letters cost a factor of
@@ -73,7 +94,8 @@ def guess_cost(value: str) -> float:
     The empty value costs 0. The time is linear in the length.
     """
     n = len(value)
-    small = value.lower()
+    ranks = word_ranks() if ranks is None else ranks
+    small = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = small.translate(_LEET)
     per = _alphabet(value)
     best = [math.inf] * (n + 1)
@@ -95,8 +117,8 @@ def guess_cost(value: str) -> float:
         cost = best[end - 1] + per
         for start in range(max(0, end - _LONGEST_WORD), end - 2):
             word = small[start:end]
-            rank = _RANKS.get(word)
-            if rank is None and (rank := _RANKS.get(plain[start:end])) is not None:
+            rank = ranks.get(word)
+            if rank is None and (rank := ranks.get(plain[start:end])) is not None:
                 rank += math.log10(2)
             if rank is not None:
                 rank += math.log10(2) * (value[start:end] != word)
@@ -131,30 +153,39 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def guessed_spans(text: str, least_log10: float = LEAST_LOG10) -> list[Span]:
+def guessed_spans(text: str, least_log10: float = LEAST_LOG10, ranks: dict[str, float] | None = None) -> list[Span]:
     """Values in credential contexts that take at least ``10 ** least_log10`` guesses.
 
-    Only values with a digit, or with capitals inside, are scored: running
-    prose after a mention isn't a value.
+    Every value behind one of a name's joining words or signs is scored. Names
+    inside a value that was scored don't open a context of their own.
     """
     out: list[Span] = []
     if not _NAMED.search(text):
         return out
-    for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".,;:!?)")
-        mixed = any(c.isdigit() for c in value) or any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
-        if len(value) >= 8 and mixed and guess_cost(value) >= least_log10:
-            out.append(("guess", m.start(1), m.start(1) + len(value)))
+    scored: dict[int, int] = {}
+    for name in _NAME.finditer(text):
+        if any(start <= name.start() < end for start, end in list(scored.items())[-JOINING:]):
+            continue
+        at = name.end()
+        for _ in range(JOINING):
+            if (link := _LINK.match(text, at)) and (m := _VALUE.match(text, link.end())) and m.start(1) not in scored:
+                value = m[1].rstrip(".,;:!?)")
+                scored[m.start(1)] = m.end(1)
+                if len(value) >= 8 and guess_cost(value, ranks) >= least_log10:
+                    out.append(("guess", m.start(1), m.start(1) + len(value)))
+            if not (joining := _JOINING.match(text, at)):
+                break
+            at = joining.end()
     return out
 
 
-def find_spans(text: str, least_log10: float = LEAST_LOG10) -> tuple[list[Span], list[Span]]:
+def find_spans(text: str, least_log10: float = LEAST_LOG10, ranks: dict[str, float] | None = None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, each by start and then in the order of ``KINDS``.
 
     A guessed value that lies in a base span isn't repeated.
     """
     base = base_spans(text)
-    more = [g for g in guessed_spans(text, least_log10) if not any(b[1] <= g[1] and g[2] <= b[2] for b in base)]
+    more = [g for g in guessed_spans(text, least_log10, ranks) if not any(b[1] <= g[1] and g[2] <= b[2] for b in base)]
     rank = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=rank), sorted(base + more, key=rank)
 
@@ -172,12 +203,13 @@ def scan(docs: DataFrame, *, least_log10: float = LEAST_LOG10, id_col: str = "do
     rows stay as they are; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks())
 
     def work(batches):
         for batch in batches:
             counts, digests, spans = [], [], []
             for text in batch.column(1):
-                base, every = find_spans(text.as_py() or "", least_log10)
+                base, every = find_spans(text.as_py() or "", least_log10, ranks.value)
                 counts.append([sum(s[0] == k for s in base) for k in KINDS[:3]])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(every))
@@ -188,9 +220,9 @@ def scan(docs: DataFrame, *, least_log10: float = LEAST_LOG10, id_col: str = "do
     return out.withColumnRenamed("id", id_col)
 
 
-def redact_text(text: str, mask: str, least_log10: float = LEAST_LOG10) -> str:
+def redact_text(text: str, mask: str, least_log10: float = LEAST_LOG10, ranks: dict[str, float] | None = None) -> str:
     """The text with each run of overlapping spans replaced by ``mask``."""
-    spans = find_spans(text, least_log10)[1]
+    spans = find_spans(text, least_log10, ranks)[1]
     if not spans:
         return text
     parts, at = [], 0
@@ -208,10 +240,11 @@ def redact(docs: DataFrame, *, mask: str = "[secret]", least_log10: float = LEAS
     """
     names = docs.columns
     others = [F.col(c) for c in names if c != text_col]
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks())
 
     def work(batches):
         for batch in batches:
-            texts = [None if t.as_py() is None else redact_text(t.as_py(), mask, least_log10) for t in batch.column(0)]
+            texts = [None if t.as_py() is None else redact_text(t.as_py(), mask, least_log10, ranks.value) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [docs.schema[text_col], *[docs.schema[c] for c in names if c != text_col]])

@@ -360,3 +360,12 @@ def test_long_secrets_are_masked_whole():
         text = f"before private key: {secret} behind"
         assert secret_scan.find_spans(text)[1] == [("guess", 20, 20 + n)]
         assert secret_scan.redact_text(text, "[secret]") == "before private key: [secret] behind"
+
+
+def test_secrets_of_any_letters_behind_joining_words():
+    guessed = lambda text: [text[s:e] for k, s, e in secret_scan.find_spans(text)[1] if k == "guess"]
+    for secret in ("zqvkxwjpmtrhbfyd", "ZQVKXWJPMTRHBFYD", "zqvk_xwjp%mtrh", "xK9$vQ2mLp7Zt"):
+        for context in ("the passphrase is ", "the secret key: ", "the password for the server is ", "the token is the same as ", 'my credentials" -> "'):
+            assert guessed(f"{context}{secret} and so on") == [secret], context
+    for prose in ("the password is sunshine", "the secret to happiness", "a token is represented by understanding", "the secret of the house was authentication"):
+        assert guessed(prose) == []
