@@ -5,15 +5,19 @@ can be read alone. The model of a block mixes three predictions of the next id:
 
 * order 2: the id that last followed the same two ids (hashed),
 * order 1: the id that last followed the same id (hashed),
-* order 0: adaptive counts of the high byte and of the low byte.
+* order 0: adaptive frequencies of the high byte times those of the low byte.
 
-How much of the code range orders 2 and 1 get depends on how often
-predictions with the same run of successes held so far in this block; the rest
-goes to order 0. One arithmetic coding step chooses between the predictions
-and, for order 0, the high byte; a second one, where needed, codes the low byte.
+An id's probability is the weighted sum of what all three give it. The weights
+belong to a context: how often orders 2 and 1 were right in a row, and whether
+they agree. After each id a weight moves towards the share of the probability
+that its order contributed (the step of expectation maximisation for mixtures).
+The sum is coded in one arithmetic step: the ids that orders 2 and 1 name come
+first, each with all its mass, then all others by order 0, those two left out.
 
 Blocks are independent, so all blocks of a frame advance together, one id a
-step, as NumPy vectors: the interpreter's cost is shared by all of them.
+step, as NumPy vectors: the interpreter's cost is shared by all of them. All
+arithmetic that the decoder has to repeat is in integers, but for one quotient
+in the weights, which IEEE rules fix to the last bit.
 """
 
 from __future__ import annotations
@@ -25,80 +29,117 @@ import numpy as np
 #: Ids in a block.
 BLOCK = 2048
 _SLOTS = 1024
-_BITS = 12  # totals of the byte counts
-_TOP, _BOT, _MASK = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
-_W, _LOW16 = np.uint64(16), np.uint64(0xFFFF)
-_SHARE = 61440  # of 65536: what orders 2 and 1 can get
-_CONFIDENCE = 8
-_INSIDE = np.arange(1, 16)
+# all weights add up to 2**12; order 0 has 2**11 parts for the high byte and 2**10 for the low one
+_WEIGHT, _HIGH, _LOW = 12, 11, 10
+_ZERO = _HIGH + _LOW
+_TOTAL = np.uint64(_WEIGHT + _ZERO)
+_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
+_W, _OUT = np.uint64(16), np.uint64(48)
+#: What orders 2 and 1 can get together, of 4096.
+_SHARE = 4032
+_SURE = 4  # 0: nothing seen yet; 1 to 3: right so often in a row
+_CONTEXTS = _SURE * _SURE * 2
+_RATE = 5
+_LAST = np.uint64((1 << _ZERO) - 1)
+_PART = 0xFFF
+_BYTES = np.arange(256, dtype=np.uint8)
+# fixed values: where the weights start, of 65536, by how often an order was right in a row
+_START = (300, 9000, 30000, 52000)
+_MIXING = np.array([[40503], [30011]], np.int64)
 
 
 class _Model:
-    """The models of all blocks, one row each."""
+    """The models of all blocks, one column each. Row 0 of what ``predict`` gives is order 2, row 1 is order 1."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, search: bool):
+        self.search = search
+        self.counts = np.concatenate([np.tile(np.maximum(1, 256 // (1 + np.arange(256, dtype=np.int32))), lanes), np.ones(lanes * 256, np.int32)])
+        start = np.array([[(_START[a], (65536 - _START[a]) * _START[b] >> 16)] * 2 for a in range(_SURE) for b in range(_SURE)], np.int32).reshape(-1, 2)
+        self.trust = np.concatenate([np.tile(start[:, 0], lanes), np.tile(start[:, 1], lanes)])
+        self.seen = np.zeros(2 * lanes * _SLOTS, np.int32)
+        self.x = np.zeros((2, lanes), np.int64)
         self.lanes = lanes
-        at = np.arange(lanes, dtype=np.int64)
-        self.flat_rows = at * 257
-        self.slot_base, self.conf_base = at * _SLOTS, at * _CONFIDENCE
-        self.one = np.zeros(lanes * _SLOTS, np.int32)
-        self.two = np.zeros(lanes * _SLOTS, np.int32)
-        start = np.array([500, 8000, 20000, 30000, 38000, 44000, 50000, 54000], np.int64)
-        self.trust1, self.trust2 = np.tile(start, lanes), np.tile(start, lanes)
-        prior = np.maximum(1, 256 // (1 + np.arange(256, dtype=np.int64)))
-        self.high_counts = np.tile(prior, (lanes, 1))
-        self.low_counts = np.ones((lanes, 256), np.int64)
+        self.narrow(lanes)
         self.refresh()
-        self.x1 = np.zeros(lanes, np.int64)
-        self.x2 = np.zeros(lanes, np.int64)
+
+    def narrow(self, k: int) -> None:
+        """Go on with the first ``k`` blocks alone."""
+        at, both = np.arange(k, dtype=np.int64), np.arange(2, dtype=np.int64)[:, None] * self.lanes
+        self.high_at, self.low_at = at * 256, (at + self.lanes) * 256
+        self.high_names_at, self.low_names_at = at << _HIGH, at << _LOW
+        self.slots, self.contexts = (at + both) * _SLOTS, (at + both) * _CONTEXTS
+        self.x = np.ascontiguousarray(self.x[:, :k])
 
     @staticmethod
-    def _cumulated(counts: np.ndarray) -> np.ndarray:
-        sums = np.cumsum(counts, axis=1)
-        out = np.zeros((len(counts), 257), np.int64)
-        np.multiply(sums, ((1 << _BITS) - 256) / sums[:, -1:], out=out[:, 1:], casting="unsafe")
-        return out + np.arange(257)
+    def _packed(counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each byte's part starts and how long it is, in one number; and the lengths. Every byte has a part."""
+        sums = np.cumsum(counts.reshape(-1, 256), axis=1, dtype=np.int32)
+        free = (1 << bits) - 256
+        ends = (sums * (free / sums[:, -1:])).astype(np.int32)
+        ends[:, -1] = free
+        ends += np.arange(1, 257, dtype=np.int32)
+        length = np.diff(ends, axis=1, prepend=np.int32(0))
+        return ((ends - length) << 12 | length).reshape(-1), length.reshape(-1)
 
     def refresh(self) -> None:
-        self.high, self.low = self._cumulated(self.high_counts), self._cumulated(self.low_counts)
-        self.high_coarse, self.low_coarse = (np.ascontiguousarray(x[:, 16:256:16]) for x in (self.high, self.low))
-
-    def find(self, sums: np.ndarray, coarse: np.ndarray, rows: np.ndarray, value: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """The byte whose part of a range of ``share`` holds ``value``: first among sixteenths, then inside one."""
-        value = value[:, None]
-        share = share[:, None] if share.ndim else share
-        first = (coarse[rows] * share >> _BITS <= value).sum(axis=1) << 4
-        inside = self.flat_rows[rows][:, None] + first[:, None] + _INSIDE
-        return first + (sums.reshape(-1)[inside] * share >> _BITS <= value).sum(axis=1)
-
-    def predict(self, k: int) -> None:
-        x1, x2 = self.x1[:k], self.x2[:k]
-        self.h1 = self.slot_base[:k] + ((x1 * 40503 >> 5) & (_SLOTS - 1))
-        self.h2 = self.slot_base[:k] + ((x1 * 40503 + x2 * 30011 >> 5) & (_SLOTS - 1))
-        e1, e2 = self.one[self.h1].astype(np.int64), self.two[self.h2].astype(np.int64)
-        self.a1, self.a2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.c1, self.c2 = e1 >> 16, e2 >> 16
-        self.i2 = self.conf_base[:k] + self.c2
-        self.i1 = self.conf_base[:k] + np.where(self.a1 == self.a2, 0, self.c1)
-        self.w2 = np.maximum(self.trust2[self.i2] * _SHARE >> 16, 1)
-        self.w12 = self.w2 + np.maximum((_SHARE - self.w2) * self.trust1[self.i1] >> 16, 1)
-
-    def learn(self, k: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, missed: np.ndarray) -> None:
-        t2 = self.trust2[self.i2]
-        self.trust2[self.i2] = t2 + ((hit2 * 65535 - t2) >> 5)
-        t1 = self.trust1[self.i1]
-        self.trust1[self.i1] = t1 + np.where(hit2, 0, (hit1 * 65535 - t1) >> 5)
-        self.two[self.h2] = x | np.where(x == self.a2, np.minimum(self.c2 + 1, _CONFIDENCE - 1), 1) << 16
-        self.one[self.h1] = x | np.where(x == self.a1, np.minimum(self.c1 + 1, _CONFIDENCE - 1), 1) << 16
+        half = self.lanes * 256
+        (high, long), (low, short) = self._packed(self.counts[:half], _HIGH), self._packed(self.counts[half:], _LOW)
+        self.parts = np.concatenate([high, low])
+        if self.search:
+            names = np.tile(_BYTES, self.lanes)
+            self.high_names, self.low_names = np.repeat(names, long), np.repeat(names, short)
+
+    def zero(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where ids start in order 0, and their mass there."""
+        high, low = self.parts.take(self.high_at + (ids >> 8)).astype(np.int64), self.parts.take(self.low_at + (ids & 255))
+        length = high & _PART
+        return (high >> 12 << _LOW) + length * (low >> 12), length * (low & _PART)
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids that hold places in order 0."""
+        name = self.high_names.take(self.high_names_at + (place >> _LOW)).astype(np.int64)
+        high = self.parts.take(self.high_at + name).astype(np.int64)
+        rest = (place - (high >> 12 << _LOW)).view(np.uint64) // (high & _PART).view(np.uint64)
+        return self.low_names.take(self.low_names_at + rest.view(np.int64)) + (name << 8)
+
+    def predict(self) -> None:
+        x = self.x * _MIXING
+        x[0] += x[1]
+        x[1] = x[0] - x[1]
+        self.slot = self.slots + ((x >> 5) & (_SLOTS - 1))
+        seen = self.seen.take(self.slot).astype(np.int64)
+        a = self.a = seen & 0xFFFF
+        self.sure = seen >> 16
+        same = a[0] == a[1]
+        self.context = self.contexts + (((self.sure[0] << 2) + self.sure[1] << 1) + same)
+        self.held = self.trust.take(self.context)
+        w = (self.held * _SHARE >> 16).astype(np.int64)
+        self.w0 = (1 << _WEIGHT) - w[0] - w[1]
+        w <<= _ZERO
+        self.w = w
+        start, mass = self.zero(a)
+        self.start = start * self.w0
+        mass *= self.w0
+        self.mass = mass
+        # all mass of the id of order 2, and of both ids
+        mass[1] *= ~same
+        self.second = w[0] + mass[0] + w[1] * same
+        self.named = w[0] + w[1] + mass[0] + mass[1]
+
+    def learn(self, x: np.ndarray, hit: np.ndarray, freq: np.ndarray) -> None:
+        gained = (self.w * hit * (65535.0 / freq)).astype(np.int32)
+        self.trust[self.context] = self.held + (gained - self.held >> _RATE)
+        self.seen[self.slot] = ((np.minimum(self.sure, _SURE - 2) * hit + 1) << 16) + x
+        missed = np.flatnonzero(~(hit[0] | hit[1]))
         y = x[missed]
-        self.high_counts[missed, y >> 8] += 24
-        self.low_counts[missed, y & 255] += 8
-        self.x2[:k] = self.x1[:k]
-        self.x1[:k] = x
+        self.counts[self.high_at[missed] + (y >> 8)] += 24
+        self.counts[self.low_at[missed] + (y & 255)] += 8
+        self.x[1] = self.x[0]
+        self.x[0] = x
 
 
 def _refreshes(step: int) -> bool:
-    return step in (8, 16, 32, 64) or step % 128 == 0
+    return step in (8, 16, 32, 64, 128) or step % 256 == 0 and step > 0
 
 
 def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +149,30 @@ def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-lengths[order], -steps, side="left")
 
 
+def _interval(m: _Model, x: np.ndarray, second: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the interval of ids ``x`` starts, and its length; ``second`` and ``first`` say whom orders 2 and 1 name."""
+    start, freq = m.zero(x)
+    gone = m.mass * (m.a < x)
+    start = start * m.w0 + (m.named - gone[0] - gone[1])
+    start = np.where(second, 0, np.where(first, m.second, start))
+    return start, np.where(second, m.second, np.where(first, m.named - m.second, freq * m.w0))
+
+
+def _shifts(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Blocks whose next 16 bits are settled, or whose range is too short to go on with."""
+    return np.flatnonzero(((low ^ (low + size)) < _TOP) | (size < _BOT))
+
+
+def _shift(low: np.ndarray, size: np.ndarray, todo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Move 16 bits out of the blocks ``todo``; the bits, and which of them are still to be shifted."""
+    lo, r = low[todo], size[todo]
+    r = np.where((lo ^ (lo + r)) < _TOP, r, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)))
+    bits = lo >> _OUT
+    lo, r = lo << _W, r << _W
+    low[todo], size[todo] = lo, r
+    return bits, todo[_shifts(lo, r)]
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], np.ndarray]:
     """Code ids below 65536 in blocks; the coded bytes and the CRC-32 of each block's ids."""
     ids = np.ascontiguousarray(ids, "<u2")
@@ -117,60 +182,43 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], np.
     checks = np.array([zlib.crc32(ids[i * block : (i + 1) * block]) for i in range(lanes)], np.uint32)
     if not lanes:
         return [], checks
-    table = np.zeros((lanes, block), np.int64)
+    table = np.zeros((lanes, block), np.uint16)
     table.reshape(-1)[:n] = ids
     order, active = _order(lengths)
     table = np.ascontiguousarray(table[order].T)
-    m = _Model(lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
+    m = _Model(lanes, search=False)
+    lows, sizes = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    low, size = lows, sizes
     out = np.zeros((lanes, 2 * block + 64), np.uint16)
     at = np.zeros(lanes, np.int64)
-
-    def put(which, start, freq, bits):
-        nonlocal out
-        lo, r = low[which], size[which] >> np.uint64(bits)
-        lo = lo + start.astype(np.uint64) * r
-        r = freq.astype(np.uint64) * r
-        low[which], size[which] = lo, r
-        todo = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOT))
-        if len(todo):
-            todo = todo if isinstance(which, slice) else which[todo]
-        while len(todo):
-            lo, r = low[todo], size[todo]
-            r = np.where((lo ^ (lo + r)) < _TOP, r, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)))
-            out[todo, at[todo]] = (lo >> np.uint64(32)).astype(np.uint16)
-            at[todo] += 1
-            lo, r = (lo << _W) & _MASK, r << _W
-            low[todo], size[todo] = lo, r
-            todo = todo[((lo ^ (lo + r)) < _TOP) | (r < _BOT)]
-
     for t, k in enumerate(active.tolist()):
         if _refreshes(t):
             m.refresh()
-            if at.max() + 1024 > out.shape[1]:
-                out = np.pad(out, ((0, 0), (0, block)))
-        x = table[t, :k]
-        m.predict(k)
-        hit2 = x == m.a2
-        hit1 = (x == m.a1) & ~hit2
-        rest = 65536 - m.w12
-        missed = np.flatnonzero(~(hit2 | hit1))
-        start = np.where(hit2, 0, m.w2)
-        freq = np.where(hit2, m.w2, m.w12 - m.w2)
-        hi, share = x[missed] >> 8, rest[missed]
-        a = m.high[missed, hi] * share >> _BITS
-        start[missed] = m.w12[missed] + a
-        freq[missed] = (m.high[missed, hi + 1] * share >> _BITS) - a
-        put(slice(0, k), start, freq, 16)
-        if len(missed):
-            y = x[missed] & 255
-            a = m.low[missed, y]
-            put(missed, a, m.low[missed, y + 1] - a, _BITS)
-        m.learn(k, x, hit2, hit1, missed)
-    out = np.pad(out, ((0, 0), (0, 3)))
+        if t % 128 == 0 and at.max() + 1024 > out.shape[1]:
+            out = np.pad(out, ((0, 0), (0, block + 1024)))
+        if k < m.x.shape[1]:
+            m.narrow(k)
+            low, size = lows[:k], sizes[:k]
+        x = table[t, :k].astype(np.int64)
+        m.predict()
+        hit = m.a == x
+        start, freq = _interval(m, x, hit[0], hit[1])
+        r = size >> _TOTAL
+        low += start.view(np.uint64) * r
+        np.multiply(freq.view(np.uint64), r, out=size)
+        todo = _shifts(low, size)
+        while len(todo):
+            where = todo
+            bits, todo = _shift(low, size, todo)
+            out[where, at[where]] = bits
+            at[where] += 1
+        m.learn(x, hit, freq)
+    # 32 bits that lie in the last range, whatever follows them
+    lows += np.uint64(0xFFFFFFFF)
     rows = np.arange(lanes)
-    for shift in (32, 16, 0):
-        out[rows, at] = ((low >> np.uint64(shift)) & _LOW16).astype(np.uint16)
+    out = np.pad(out, ((0, 0), (0, 2)))
+    for shift in (48, 32):
+        out[rows, at] = lows >> np.uint64(shift)
         at += 1
     coded: list[bytes] = [b""] * lanes
     for row, i in enumerate(order.tolist()):
@@ -185,64 +233,42 @@ def decode_blocks(coded: list[bytes], lengths: np.ndarray, checks: np.ndarray) -
     if not lanes:
         return np.zeros(0, "<u2")
     order, active = _order(lengths)
-    words = np.zeros((lanes, max(map(len, coded)) // 2 + 4), np.uint64)
+    words = np.zeros((lanes, max(map(len, coded)) // 2 + 6), np.uint64)
     for row, i in enumerate(order.tolist()):
         got = np.frombuffer(coded[i], "<u2")
         words[row, : len(got)] = got
     table = np.zeros((len(active), lanes), np.uint16)
-    m = _Model(lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << _W) | words[:, 2]
-    at = np.full(lanes, 3, np.int64)
-
-    def target(which, bits):
-        r = size[which] >> np.uint64(bits)
-        return np.minimum(((code[which] - low[which]) // r).astype(np.int64), (1 << bits) - 1)
-
-    def take(which, start, freq, bits):
-        lo, r = low[which], size[which] >> np.uint64(bits)
-        lo = lo + start.astype(np.uint64) * r
-        r = freq.astype(np.uint64) * r
-        low[which], size[which] = lo, r
-        todo = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOT))
-        if len(todo):
-            todo = todo if isinstance(which, slice) else which[todo]
-        while len(todo):
-            lo, r = low[todo], size[todo]
-            r = np.where((lo ^ (lo + r)) < _TOP, r, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)))
-            place = np.minimum(at[todo], words.shape[1] - 1)
-            code[todo] = ((code[todo] << _W) & _MASK) | words[todo, place]
-            at[todo] += 1
-            lo, r = (lo << _W) & _MASK, r << _W
-            low[todo], size[todo] = lo, r
-            todo = todo[((lo ^ (lo + r)) < _TOP) | (r < _BOT)]
-
+    m = _Model(lanes, search=True)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << _W) | words[:, 3]
+    at = np.full(lanes, 4, np.int64)
     for t, k in enumerate(active.tolist()):
         if _refreshes(t):
             m.refresh()
-        m.predict(k)
-        v = target(slice(0, k), 16)
-        hit2 = v < m.w2
-        hit1 = (v < m.w12) & ~hit2
-        missed = np.flatnonzero(v >= m.w12)
-        start = np.where(hit2, 0, m.w2)
-        freq = np.where(hit2, m.w2, m.w12 - m.w2)
-        x = np.where(hit2, m.a2, m.a1)
-        if len(missed):
-            w12 = m.w12[missed]
-            share = 65536 - w12
-            hi = m.find(m.high, m.high_coarse, missed, v[missed] - w12, share)
-            a = m.high[missed, hi] * share >> _BITS
-            start[missed] = w12 + a
-            freq[missed] = (m.high[missed, hi + 1] * share >> _BITS) - a
-        take(slice(0, k), start, freq, 16)
-        if len(missed):
-            v = target(missed, _BITS)
-            lo = m.find(m.low, m.low_coarse, missed, v, np.int64(1 << _BITS))
-            a = m.low[missed, lo]
-            take(missed, a, m.low[missed, lo + 1] - a, _BITS)
-            x[missed] = hi << 8 | lo
-        m.learn(k, x, x == m.a2, (x == m.a1) & (x != m.a2), missed)
+        if k < m.x.shape[1]:
+            m.narrow(k)
+            low, size, code = low[:k], size[:k], code[:k]
+        m.predict()
+        r = size >> _TOTAL
+        v = ((code - low) // r).view(np.int64)
+        second, named = v < m.second, v < m.named
+        # a place in order 0, first without the two ids, then with them
+        u = np.maximum(v - m.named, 0)
+        swap = m.start[0] > m.start[1]
+        u += np.where(swap, m.mass[1], m.mass[0]) * (u >= np.minimum(m.start[0], m.start[1]))
+        u += np.where(swap, m.mass[0], m.mass[1]) * (u >= np.maximum(m.start[0], m.start[1]))
+        x = m.find(np.minimum(u.view(np.uint64) // m.w0.view(np.uint64), _LAST).view(np.int64))
+        x = np.where(second, m.a[0], np.where(named, m.a[1], x))
+        start, freq = _interval(m, x, second, named)
+        low += start.view(np.uint64) * r
+        size = freq.view(np.uint64) * r
+        todo = _shifts(low, size)
+        while len(todo):
+            where = todo
+            _, todo = _shift(low, size, todo)
+            code[where] = (code[where] << _W) | words[where, np.minimum(at[where], words.shape[1] - 1)]
+            at[where] += 1
+        m.learn(x, m.a == x, freq)
         table[t, :k] = x
     columns = np.ascontiguousarray(table.T)
     parts: list[np.ndarray] = [np.zeros(0, "<u2")] * lanes

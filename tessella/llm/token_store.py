@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,40 +30,118 @@ from pyspark.sql import functions as F
 from tessella.llm import context_coder
 from tessella.llm import tokenizer_files as tf
 from tessella.llm.bpe_automaton import tokenizer_bytes
-from tessella.llm.common import bound_batches, map_texts, shared_dir, ship
+from tessella.llm.common import map_texts, shared_dir, ship
 
 _HEAD = struct.Struct("<4sIIQIII")
 #: A frame is closed once it has this many ids; its last document is whole.
 FRAME_IDS = 3_000_000
+#: Distinct chunks of text that a worker remembers.
+CHUNKS = 1_000_000
 _STORE_SCHEMA = "pid int, seq int, n_tokens long, frame binary"
 
 
 class IdEncoder:
-    """Ids of whole texts as the tokenizer file gives them; short chunks are remembered."""
+    """Ids of whole texts as the ``tokenizers`` library gives them, a batch of texts at a time.
+
+    No piece of a byte-level vocabulary crosses a cut in front of a space, but
+    for runs of white space. So texts are cut there, Arrow gives each distinct
+    chunk a number, and the library sees each chunk once; chunks are remembered
+    until there are ``CHUNKS`` of them. Texts that a cut would change, and texts
+    that spell a special token, go to the library whole.
+    """
 
     def __init__(self, raw: bytes):
-        import tiktoken
+        from tokenizers import Tokenizer
 
         file = tf.parse(raw)
         if file.word_level or any(i >= 1 << 16 for i in file.vocab.values()):
             raise ValueError("the store takes byte-level vocabularies with ids below 65536")
-        of = {s: i for i, s in enumerate(tf.byte_symbols())}
-        ranks = {bytes(of[c] for c in s): i for s, i in file.vocab.items() if all(c in of for c in s) and s not in file.specials}
-        self.library = tiktoken.Encoding("store", pat_str=tf.BYTE_PIECES.pattern, mergeable_ranks=ranks, special_tokens=dict(file.specials))
+        self.library = Tokenizer.from_buffer(raw)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.specials = list(file.specials)
-        self.head = tf.Memo(self._plain)
-        self.after_space = tf.Memo(lambda chunk: self._plain(" " + chunk))
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, "<u2")
+        self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.used = self.entries = 0
+
+    def _add(self, texts: list[str]) -> np.ndarray:
+        """Numbers of new entries with the ids of some texts."""
+        parts = [np.array(e.ids, "<u2") for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        total, n = self.used + int(lengths.sum()), self.entries + len(parts)
+        while total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n > len(self.first):
+            self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
+        self.ids[self.used : total] = np.concatenate([*parts, np.zeros(0, "<u2")])
+        self.first[self.entries : n] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.entries : n] = lengths
+        out = np.arange(self.entries, n)
+        self.used, self.entries = total, n
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 16-bit integers."""
-        if any(s in text for s in self.specials):
-            return np.array(self.library.encode(text, allowed_special="all"), "<u2").tobytes()
-        if (cut := tf.byte_chunks(text)) is not None:
-            return self.head[cut[0]] + b"".join(map(self.after_space.__getitem__, cut[1]))
-        return self._plain(text)
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The entries of some chunks; what isn't known yet is encoded together."""
+        known = self.known
+        out = [known.get(c, -1) for c in chunks]
+        new = list({c: None for c, i in zip(chunks, out, strict=True) if i < 0})
+        if new:
+            numbers = dict(zip(new, self._add(new).tolist(), strict=True))
+            known.update((c, i) for c, i in numbers.items() if len(c) <= 64)
+            out = [numbers[c] if i < 0 else i for c, i in zip(chunks, out, strict=True)]
+        return np.array(out, np.int64)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with ``end`` behind it if that is given, and how many each has."""
+        if self.entries > CHUNKS:
+            self._forget()
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        chunks = cut.flatten().dictionary_encode()
+        names, which = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        first, last = offsets[:-1], offsets[1:] - 1
+        # white space, a space and white space in a row: a cut would part what belongs together
+        white = tf.WHITE_CHARS
+        empty = np.array([not c for c in names], bool)
+        opens, closes = (np.array([bool(c) and c[i] in white for c in names], bool)[which] for i in (0, -1))
+        empty = empty[which]
+        before, behind = closes | empty, opens | empty
+        before[first], behind[last] = closes[first], opens[last]
+        joined = before[:-1] & behind[1:]
+        joined[last[:-1]] = False
+        whole = np.add.reduceat(np.append(joined, False), first) > 0
+        for special in self.specials:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        entry = np.zeros(len(which), np.int64)
+        heads = np.zeros(len(which), bool)
+        heads[first] = True
+        spaced = np.unique(which[~heads])
+        lookup = np.zeros(len(names), np.int64)
+        lookup[spaced] = self._numbers([" " + names[i] for i in spaced.tolist()])
+        entry = lookup[which]
+        entry[first] = self._numbers([names[i] for i in which[first].tolist()])
+        length = self.length[entry]
+        at = np.flatnonzero(whole)
+        if len(at):
+            length[np.repeat(whole, np.diff(offsets))] = 0
+            entry[first[at]] = self._add([texts[i].as_py() for i in at.tolist()])
+            length[first[at]] = self.length[entry[first[at]]]
+        counts = np.add.reduceat(length, first)
+        total = int(length.sum())
+        place = np.arange(total) + np.repeat(self.first[entry] - (np.cumsum(length) - length), length)
+        ids = self.ids[place]
+        if end is not None:
+            ids = np.insert(ids, np.cumsum(counts), end)
+            counts += 1
+        return ids, counts
 
 
 @lru_cache(maxsize=4)
@@ -70,24 +149,23 @@ def id_encoder(raw: bytes) -> IdEncoder:
     return IdEncoder(raw)
 
 
-def pack_frame(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
-    """One frame of whole documents, each given as 16-bit ids."""
-    counts = np.array([len(d) // 2 for d in docs], "<u4")
-    ids = np.frombuffer(b"".join(docs), "<u2")
+def pack_frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One frame of whole documents: how many 16-bit ids each has, and all of them."""
+    counts = counts.astype("<u4")
     coded, checks = context_coder.encode_blocks(ids)
     known = np.array([i is not None for i in doc_ids], np.uint8)
     body = b"".join([
         np.array([i or 0 for i in doc_ids], "<i8").tobytes(), known.tobytes(), counts.tobytes(),
         np.array([len(c) for c in coded], "<u4").tobytes(), checks.astype("<u4").tobytes(), *coded,
     ])
-    return _HEAD.pack(b"TIDF", 1, len(docs), len(ids), context_coder.BLOCK, len(coded), zlib.crc32(body)) + body
+    return _HEAD.pack(b"TIDF", 2, len(doc_ids), len(ids), context_coder.BLOCK, len(coded), zlib.crc32(body)) + body
 
 
 def unpack_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, ids of each document, and all ids; raises ValueError on damage."""
     magic, version, n_docs, n_ids, block, blocks, check = _HEAD.unpack_from(frame)
     body = memoryview(frame)[_HEAD.size :]
-    if magic != b"TIDF" or version != 1 or zlib.crc32(body) != check:
+    if magic != b"TIDF" or version != 2 or zlib.crc32(body) != check:
         raise ValueError("damaged frame")
     at = 0
 
@@ -117,28 +195,36 @@ def write_ids(docs: DataFrame, tokenizer: str, *, end_id: int = 2, id_col: str =
     sent = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = slim.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
-    end = np.array([end_id], "<u2").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, seq = id_encoder(sent.value).encode, TaskContext.get().partitionId(), 0
+        encoder, pid, seq = id_encoder(sent.value), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        held_counts: list[np.ndarray] = []
         size = 0
 
         def flush():
-            nonlocal names, held, size, seq
-            frame = pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_frame(names, held)], pa.binary())], ["pid", "seq", "n_tokens", "frame"])
-            names, held, size, seq = [], [], 0, seq + 1
+            nonlocal names, held, held_counts, size, seq
+            packed = pack_frame(names, np.concatenate(held_counts), np.concatenate(held))
+            frame = pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([packed], pa.binary())], ["pid", "seq", "n_tokens", "frame"])
+            names, held, held_counts, size, seq = [], [], [], 0, seq + 1
             return frame
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                names.append(i), held.append(ids)
-                size += len(ids) // 2
+            ids, counts = encoder.encode(batch.column(1), end_id)
+            own, ends, lo = batch.column(0).to_pylist(), np.cumsum(counts), 0
+            while lo < len(own):
+                before = int(ends[lo - 1]) if lo else 0
+                # up to the document with which the frame is full
+                hi = min(len(own), int(np.searchsorted(ends, before + frame_ids - size)) + 1)
+                names += own[lo:hi]
+                held.append(ids[before : int(ends[hi - 1])])
+                held_counts.append(counts[lo:hi])
+                size += int(ends[hi - 1]) - before
+                lo = hi
                 if size >= frame_ids:
                     yield flush()
-        if held:
+        if names:
             yield flush()
 
     map_texts(dealt, ["id", "text"], work, _STORE_SCHEMA).write.parquet(path)
@@ -182,5 +268,5 @@ def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType)
                 values = [value(ids[s:e]) for s, e in zip(first.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(first + base[pid] + inner), pa.array(counts.astype(np.int64)), pa.array(values, kind)], ["doc_id", "start", "n_tokens", column.split()[0]])
 
-    bound_batches(spark)
+
     return frames.select("pid", "seq", "frame").join(inside, ["pid", "seq"]).select("pid", "inside", "frame").mapInArrow(work, f"doc_id long, start long, n_tokens long, {column}")

@@ -71,6 +71,7 @@ BYTE_PIECES = regex.compile(
 )
 #: Pieces of a lower-cased vocabulary of words; white space is dropped.
 WORD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+WHITE_CHARS = frozenset(chr(i) for i in range(0x3001) if re.fullmatch(f"[{WHITE}]", chr(i)))
 _WHITE_RUN = re.compile(f"[{WHITE}]+")
 _OTHER_BLANKS = re.compile("[\x1c-\x1f]")
 #: Where cutting a text at each space would change its runs of white space.
