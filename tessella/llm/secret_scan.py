@@ -50,6 +50,10 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|
 #: Vocabularies whose whole words are the word list; tokens are numbered by how frequent they are, about.
 VOCABULARIES = (("word_bpe_49k.json", "(.*)</w>"), ("byte_bpe_50k.json", "\u0120(.*)"))
 _LONGEST_WORD = 20
+#: Repeats that are tried one by one.
+REPEATS = 16
+# log10 of guesses: a further segment, where a walk starts, each further key of it
+_FURTHER, _FIRST_KEY, _KEY = 0.48, math.log10(47), 0.5
 _PLACE = {c: (y, x) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 _LEET = str.maketrans("0134579@$!", "oieastgasi")
 
@@ -89,9 +93,10 @@ def guess_cost(value: str, ranks: dict[str, float] | None = None) -> float:
     """log10 of the least guesses that a segmentation of ``value`` takes.
 
     Segments: a listed word (capitals and digits for letters cost a factor of
-    2 each), a date, a repeated character or group, a keyboard walk of three
-    keys or more, or brute force. Each further segment costs a factor of 3.
-    The empty value costs 0. The time is linear in the length.
+    2 each), a date, a repeated character or group (up to ``REPEATS`` times, or
+    as often as it goes), a keyboard walk of three keys or more, or brute
+    force. Each further segment but brute force costs a factor of 3. The empty
+    value costs 0. The time is linear in the length.
     """
     n = len(value)
     ranks = word_ranks() if ranks is None else ranks
@@ -100,15 +105,12 @@ def guess_cost(value: str, ranks: dict[str, float] | None = None) -> float:
     per = _alphabet(value)
     best = [math.inf] * (n + 1)
     best[0] = 0.0
-    dates: dict[int, list[tuple[int, float]]] = {}
-    for at in range(n):
-        if m := _DATE.match(value, at):
-            dates.setdefault(m.end(), []).append((at, 4.4 if m.end() - at > 4 else 2.1))
-    walks = [0] * n
+    # the least cost up to each place with a walk as last segment
+    walk = [math.inf] * (n + 1)
+    near = [False, *(_near(small[i - 1], small[i]) for i in range(1, n))]
     # how many characters up to each equal those 1, 2, 3 and 4 before them
     equal = {width: [0] * n for width in (1, 2, 3, 4)}
     for i in range(1, n):
-        walks[i] = walks[i - 1] + 1 if _near(small[i - 1], small[i]) else 0
         for width, run in equal.items():
             if i >= width and value[i] == value[i - width]:
                 run[i] = run[i - 1] + 1
@@ -122,19 +124,23 @@ def guess_cost(value: str, ranks: dict[str, float] | None = None) -> float:
                 rank += math.log10(2)
             if rank is not None:
                 rank += math.log10(2) * (value[start:end] != word)
-                cost = min(cost, best[start] + rank + 0.48 * (start > 0))
-        run = walks[end - 1]
-        if run >= 2:
-            start = end - 1 - run
-            cost = min(cost, best[start] + math.log10(47) + 0.5 * run + 0.48 * (start > 0))
+                cost = min(cost, best[start] + rank + _FURTHER * (start > 0))
+        if end >= 2 and near[end - 1]:
+            walk[end] = walk[end - 1] + _KEY
+            if end >= 3 and near[end - 2]:
+                walk[end] = min(walk[end], best[end - 3] + _FIRST_KEY + 2 * _KEY + _FURTHER * (end > 3))
+            cost = min(cost, walk[end])
         for width in (1, 2, 3, 4):
-            times = 1 + equal[width][end - 1] // width
-            start = end - width * times
-            if times > 1 and times * width >= 3:
-                cost = min(cost, best[start] + width * per + math.log10(times) + 0.48 * (start > 0))
+            most = 1 + equal[width][end - 1] // width
+            for times in {*range(2, min(most, REPEATS) + 1), most}:
+                if times > 1 and times * width >= 3:
+                    start = end - width * times
+                    cost = min(cost, best[start] + width * per + math.log10(times) + _FURTHER * (start > 0))
+        if value[end - 1].isdigit():
+            for start in range(max(0, end - 10), end - 3):
+                if value[start].isdigit() and _DATE.fullmatch(value, start, end):
+                    cost = min(cost, best[start] + (4.4 if end - start > 4 else 2.1) + _FURTHER * (start > 0))
         best[end] = cost
-        for start, guesses in dates.get(end, ()):
-            best[end] = min(best[end], best[start] + guesses + 0.48 * (start > 0))
     return best[n]
 
 
