@@ -35,6 +35,8 @@ from tessella.llm import tokenizer_files as tf
 from tessella.llm.common import map_texts
 
 _LATEST = 1 << 30
+#: Transitions that are kept resolved; with more, all are forgotten and resolved anew.
+TRANSITIONS = 2_000_000
 
 
 class TokenAutomaton:
@@ -85,6 +87,8 @@ class TokenAutomaton:
         """The ids of one piece as the pre-tokenizer gives it."""
         text = piece.translate(self.as_symbols) if piece.isascii() else "".join(self.as_symbols[b] for b in piece.encode())
         vocab, suffix, table, longest = self.file.vocab, self.file.suffix, self.table, self.longest
+        if len(table) > TRANSITIONS:
+            table.clear()
         n, at, out, ends = len(text), 0, [], []
         dead = bytearray(n + 1)
         upto = min(n, longest)
