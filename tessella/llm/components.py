@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship, stored
+from tessella.llm.common import forget, ship, stored
 
 #: Edges that one task replaces by stars.
 FOREST_EDGES = 500_000
@@ -67,7 +67,8 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stored(after, "edges")
+        last, now = now, stored(after, "edges")
+        forget(last, given)
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

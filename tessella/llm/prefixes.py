@@ -8,6 +8,12 @@ distance of parity bitmaps, which is at most the size of the symmetric differenc
 
 How rare a shingle is comes from a table of counts by hash. The table decides
 how many candidates there are, never which pairs are found.
+
+Most shingles of a prefix are in no other prefix. Those that are shared are
+counted exactly; only their rows get the bitmaps and meet in blocks. A large
+group of near copies would give a pair for each two members. So it is first
+contracted: in a few rounds each row puts out its nearest candidate alone, and
+what is linked so is one for all pairs that follow.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import shingles
-from tessella.llm.common import map_texts, ship, stored
+from tessella.llm.common import forget, is_marked, map_texts, marked, ship, sized, stored
 
 #: Counts of shingles are kept by so many bits of their hashes.
 CELL_BITS = 20
@@ -30,6 +36,12 @@ BITMAP = 8
 BLOCK_ROWS = 20_000
 #: Pairs that are compared in one NumPy step.
 PAIRS = 1 << 20
+#: Rows that are worked on together.
+BATCH_ROWS = 50_000
+#: Bits of the filter of shared shingles: 16 MB.
+FILTER_BITS = 1 << 27
+#: Rounds in which nearest candidates are linked, at most.
+ROUNDS = 4
 _SHIFT = np.uint64(64 - CELL_BITS)
 #: Keeps products of sizes and similarities from being rounded up past a whole number.
 _SLACK = 1e-6
@@ -78,8 +90,7 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``node`` (the id), ``size`` (distinct shingles), ``prefix``, ``blocks`` of each of its shingles and the bitmap
-    ``b0``.. of every text with words."""
+    """``node`` (the id), ``size`` (distinct shingles), ``prefix`` and the bitmap ``b0``.. of every text with words."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(shingle_counts(docs, shingle, text_col=text_col))
@@ -89,46 +100,64 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, *, id_col: str =
         for batch in batches:
             hashed = [np.unique(h) for h in shingles.many_shingle_hashes(batch.column(1).to_pylist(), shingle)]
             some = [i for i, h in enumerate(hashed) if len(h)]
-            first = [prefix(hashed[i], counts, similarity) for i in some]
-            blocks = [-(-counts[(p >> _SHIFT).astype(np.int64)] // BLOCK_ROWS) for p in first]
             maps = np.array([bitmap(hashed[i]) for i in some], np.uint64).reshape(-1, BITMAP)
             columns = [batch.column(0).take(pa.array(some, pa.int64())), pa.array([len(hashed[i]) for i in some], pa.int64())]
-            columns += [pa.array([p.tobytes() for p in first], pa.binary()), pa.array([n.astype("<i4").tobytes() for n in blocks], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(maps[:, k].copy().view(np.int64)) for k in range(BITMAP)]], ["node", "size", "prefix", "blocks", *[f"b{k}" for k in range(BITMAP)]])
+            columns.append(pa.array([prefix(hashed[i], counts, similarity).tobytes() for i in some], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(maps[:, k].copy().view(np.int64)) for k in range(BITMAP)]], ["node", "size", "prefix", *[f"b{k}" for k in range(BITMAP)]])
 
-    schema = "node long, size long, prefix binary, blocks binary" + "".join(f", b{k} long" for k in range(BITMAP))
+    schema = "node long, size long, prefix binary" + "".join(f", b{k} long" for k in range(BITMAP))
     return stored(map_texts(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], work, schema), "prefixes")
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix; one of several blocks gets the index row and all of them a probe."""
-    names = ["node", "label", "size", *[f"b{k}" for k in range(BITMAP)]]
-    for whole in batches:
-        for lo in range(0, len(whole), 500):
-            batch = whole.slice(lo, 500)
-            own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("prefix")]
-            blocks = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in batch.column("blocks")]).astype(np.int64)
-            lengths = np.array([len(x) for x in own])
-            at = np.repeat(np.arange(len(own)), lengths)
-            place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            key = np.concatenate(own)
-            node = batch.column("node").to_numpy()
-            split = np.flatnonzero(blocks > 1)
-            n = blocks[split]
-            every = np.repeat(split, n)
-            role = np.full(len(at), BOTH, np.int8)
-            role[split] = INDEX
-            block = np.zeros(len(at), np.int64)
-            block[split] = (node[at[split]] * 0x9E3779B1 >> 7) % n
-            probes = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
-            row = np.concatenate([np.arange(len(at)), every])
-            columns = [key[row], np.concatenate([block, probes]).astype(np.int32), np.concatenate([role, np.full(len(every), PROBE, np.int8)]), place[row].astype(np.int32)]
-            columns += [batch.column(c).to_numpy()[at[row]] for c in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "block", "role", "place", *names])
-
-
-def _pairs(similarity: float):
-    """Pairs of rows of one key and block that may be similar; rows come sorted, probes last."""
+def _exploded(sets: DataFrame, bits=None) -> DataFrame:
+    """A row for each shingle of a prefix: ``key``, ``place`` and ``node``; with a filter, of the marked ones alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 500):
+                batch = whole.slice(lo, 500)
+                own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("prefix")]
+                lengths = np.array([len(x) for x in own])
+                place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                key, node = np.concatenate(own), np.repeat(batch.column("node").to_numpy(), lengths)
+                if bits is not None:
+                    keep = is_marked(bits.value, key & (FILTER_BITS - 1))
+                    key, place, node = key[keep], place[keep], node[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place.astype(np.int32)), pa.array(node)], ["key", "place", "node"])
+
+    ship(sets.sparkSession)
+    return sets.select("node", "prefix").mapInArrow(work, "key long, place int, node long")
+
+
+def shared_rows(sets: DataFrame) -> DataFrame:
+    """The rows of shingles that two or more prefixes have: ``key``, ``place``, ``node`` and ``n`` (prefixes that have it), stored.
+
+    A filter of fixed size takes out most others before the join that decides.
+    """
+    counts = stored(_exploded(sets).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    bits = sets.sparkSession.sparkContext.broadcast(marked(counts.select(F.col("key").bitwiseAND(FILTER_BITS - 1).alias("place")), FILTER_BITS))
+    out = stored(_exploded(sets, bits).join(counts, "key"), "shared")
+    forget(counts)
+    return out
+
+
+def _dealt(rows: DataFrame, nearest: bool, block_rows: int) -> DataFrame:
+    """Rows with their blocks: one with many rows of a key has several. All of them get a probe, unless just the nearest is wanted."""
+    blocks = F.ceil(F.col("n") / block_rows)
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    if nearest:
+        return rows.withColumn("block", own).withColumn("role", F.lit(BOTH).cast("byte")).drop("n")
+    one = F.array(F.struct(F.lit(0).alias("block"), F.lit(BOTH).cast("byte").alias("role")))
+    probes = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda b: F.struct(b.alias("block"), F.lit(PROBE).cast("byte").alias("role")))
+    several = F.concat(F.array(F.struct(own.alias("block"), F.lit(INDEX).cast("byte").alias("role"))), probes)
+    return rows.withColumn("to", F.explode(F.when(blocks > 1, several).otherwise(one))).select("*", "to.*").drop("to", "n")
+
+
+def _pairs(similarity: float, nearest: bool):
+    """Pairs of rows of one key and block that may be similar; rows come sorted, probes last.
+
+    With ``nearest`` a row puts out the nearest of those before it alone.
+    """
     words = [f"b{k}" for k in range(BITMAP)]
     numbers = ["key", "block", "role", "place", "node", "label", "size"]
 
@@ -143,11 +172,17 @@ def _pairs(similarity: float):
         differ = np.zeros(len(q), np.int64)
         for k in range(BITMAP):
             differ += np.bitwise_count(yb[q, k] ^ yb[d, k])
-        return q[differ <= most], d[differ <= most]
+        ok = differ <= most
+        if not nearest:
+            return q[ok], d[ok]
+        q, d = q[ok], d[ok]
+        order = np.lexsort((differ[ok], q))
+        order = order[np.unique(q[order], return_index=True)[1]]
+        return q[order], d[order]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_bits = np.zeros((0, len(numbers)), np.int64), np.zeros((0, BITMAP), np.uint64)
-        for batch in batches:
+        for batch in sized(batches, BATCH_ROWS):
             x = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in numbers], axis=1)
             xb = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
             # what the last batches left of this batch's first key and block comes before it
@@ -182,15 +217,18 @@ def _pairs(similarity: float):
     return work
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """All pairs ``a`` < ``b`` of nodes of different ``label`` that may be similar, each once.
+def candidates(rows: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, *, nearest: bool = False, block_rows: int | None = None) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes of different ``label`` that may be similar, each once: all of them, or each row's nearest.
 
-    ``sets`` has the columns of ``prefixes`` and ``label``.
+    ``rows`` are those of ``shared_rows``, ``sets`` has the sizes and bitmaps,
+    ``labels`` a label for each node that takes part. Shingles whose nodes all
+    have one label are left out before anything wide moves.
     """
-    spark = sets.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    types = "key long, block int, role byte, place int, node long, label long, size long" + "".join(f", b{k} long" for k in range(BITMAP))
-    rows = sets.mapInArrow(_expand, types)
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "role")
-    return stored(dealt.mapInArrow(_pairs(similarity), "a long, b long").distinct(), "pairs")
+    block_rows = block_rows or BLOCK_ROWS
+    words = [f"b{k}" for k in range(BITMAP)]
+    labelled = rows.join(labels, "node")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    wide = labelled.join(mixed, "key").join(sets.select("node", "size", *words), "node").select("key", "n", "place", "node", "label", "size", *words)
+    dealt = _dealt(wide, nearest, block_rows).select("key", "block", "role", "place", "node", "label", "size", *words)
+    sorted_ = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "role")
+    return stored(sorted_.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct(), "pairs")

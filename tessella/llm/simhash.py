@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import prefixes, shingles
-from tessella.llm.common import map_texts, ship, stored
+from tessella.llm.common import forget, map_texts, marked, passed, ship, sized, stored
 from tessella.llm.components import components, roots
 
 PART = 16
@@ -367,7 +367,7 @@ def _linker(plan_of, words: int, sure: int, unsure: int, nearest: bool):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held, held_ids = -1, np.zeros((0, words), np.uint64), np.zeros((0, 2), np.int64)
-        for batch in batches:
+        for batch in sized(batches, prefixes.BATCH_ROWS):
             key = batch.column("key").to_numpy(zero_copy_only=False) << 24 | batch.column("block").to_numpy(zero_copy_only=False).astype(np.int64)
             probe = batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
             id_, prints = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label")], axis=1), _matrix(batch, words)
@@ -435,7 +435,6 @@ def link(nodes: DataFrame, words: int, tau: int, *, sure: int | None = None, uns
     sure = tau if sure is None else sure
 
     def search(labelled: DataFrame, stop: int, nearest: bool) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
         rows = labelled.select("node", "label", *names).mapInArrow(_expand(shared, words, stop), _ROLE_ROWS + "".join(f", {f} long" for f in names))
         dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe")
         found = dealt.mapInArrow(_linker(shared, words, sure, max(sure, unsure or sure), nearest), "a long, b long, sure boolean")
@@ -498,10 +497,12 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     similarity s as acos(2 s / (1 + s)) / pi, and pairs beyond ``similarity`` by
     three deviations are left out. What is linked so is contracted. All other
     pairs that can be similar are found by prefix filtering (``prefixes``),
-    which misses none. Every candidate is checked exactly on whole texts before
+    which misses none: in rounds of nearest candidates, so that a large group
+    becomes one node before all pairs are looked at. Every candidate is checked exactly on whole texts before
     it is a link. Texts without words are no copies of one another and all stay,
     as do null ids with unequal texts.
     """
+    spark = docs.sparkSession
     n_bits = 64 * words
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     spread = float(np.sqrt(share * (1 - share) * n_bits))
@@ -516,18 +517,34 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     empty = prints.where("n = 0").select(F.col("id").alias("__id"))
     full = prints.where("n > 0")
     nodes = stored(full.groupBy("digest", *names).agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", "id")).alias("first")).select(F.col("first.id").alias("node"), F.col("first.__doc").alias("doc"), *names), "nodes")
-    text = keyed.select(F.col("__id").alias("a"), F.col("__text").alias("x"))
+    # texts of nodes that share a shingle of their prefixes with another; no other can be similar to one
+    rows = prefixes.shared_rows(sets.join(nodes.select("node"), "node", "left_semi"))
+    place = F.pmod(F.xxhash64("node"), F.lit(prefixes.FILTER_BITS))
+    bits = spark.sparkContext.broadcast(marked(rows.select(place.alias("place")), prefixes.FILTER_BITS))
+    met = passed(keyed.select(F.col("__id").alias("node"), F.col("__text").alias("x")), place, bits)
+    text = stored(met.join(rows.select("node").distinct(), "node", "left_semi"), "texts")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(text, "a").join(text.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+        both = pairs.join(text.withColumnRenamed("node", "a"), "a").join(text.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
         return map_texts(both, ["a", "b", "x", "y"], _jaccard(shingle, similarity), "a long, b long, ok boolean").where("ok").select("a", "b")
 
-    known = components(link(nodes, words, 4 * words - 1, sure=-1, unsure=unsure, verify=similar, ahead=True))
-    together = stored(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "nodes")
-    stars = together.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    linked = components(stars.union(similar(prefixes.candidates(sets.join(together, "node"), similarity))))
-    labelled = nodes.select("node", "doc").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("first"))
-    return whole.join(first.select(F.col("first.node").alias("__id")).union(empty), "__id", "left_semi").select("__row.*")
-
-
+    def labels(known: DataFrame) -> DataFrame:
+        return stored(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
+
+    together = labels(components(link(nodes, words, 4 * words - 1, sure=-1, unsure=unsure, verify=similar, ahead=True)))
+    settled = False
+    for nearest in [*[True] * prefixes.ROUNDS, False]:
+        if settled and nearest:
+            continue
+        pairs = prefixes.candidates(rows, sets, together, similarity, nearest=nearest)
+        found = stored(similar(pairs), "links")
+        settled = found.isEmpty()
+        stars = together.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        now = labels(components(stars.union(found)))
+        forget(pairs, found, together)
+        together = now
+    labelled = nodes.select("node", "doc").join(together, "node")
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("first"))
+    stay = stored(first.select(F.col("first.node").alias("__id")).union(empty), "stay")
+    forget(prints, sets, nodes, rows, text, together)
+    return whole.join(stay.hint("shuffle_hash"), "__id", "left_semi").select("__row.*")
