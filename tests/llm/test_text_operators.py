@@ -1,11 +1,15 @@
 """Text operators against brute force, the libraries and exact round trips, on small and odd rows."""
 
+import functools
 import hashlib
+import math
 import random
+import string
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -31,6 +35,7 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@functools.cache
 def library(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
@@ -45,7 +50,9 @@ def test_tokenizers_agree_with_the_library(text):
         assert auto.encode(text) == want
         assert auto.decode(want) == library(name).decode(want, skip_special_tokens=False)
         assert token_count.merger(raw).count(text) == len(want)
-    assert np.frombuffer(token_store.id_encoder(raw).encode(text), "<u2").tolist() == want
+    ids, counts = token_store.id_encoder(raw).encode(pa.array([text, "", text + " x"]), 2)
+    assert ids[: counts[0]].tolist() == [*want, 2] and counts[1] == 1
+    assert ids[counts[0] + 1 :].tolist() == [*library("byte_bpe_50k.json").encode(text + " x", add_special_tokens=False).ids, 2]
 
 
 def test_encode_digests(odd, none):
@@ -98,7 +105,7 @@ def test_token_store(odd, none, spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids))
         start += len(ids)
     assert token_store.read_ids(spark, token_store.write_ids(none, path)).count() == 0
-    frame = token_store.pack_frame([1], [b"\1\0\2\0"])
+    frame = token_store.pack_frame([1], np.array([2]), np.array([1, 2], "<u2"))
     with pytest.raises(ValueError):
         token_store.unpack_frame(frame[:-1] + bytes([frame[-1] ^ 1]))
 
@@ -216,38 +223,120 @@ def test_va_search_of_odd_vectors(spark):
     df = spark.createDataFrame([(a, v, "x") for a, v in rows], "vec_id long, embedding array<double>, score string")
     from pyspark.sql import functions as F
 
-    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in va_topk.top_k(df, F.col("vec_id") % 100 == 0, wave=3).collect())
+    reads = []
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in va_topk.top_k(df, F.col("vec_id") % 100 == 0, wave=3, reads=reads).collect())
     good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in good:
+    for n, (q, v) in enumerate(good):
         if q % 100 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))[:10]
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v))[:10]
             want += [(q, n + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, i) in enumerate(found)]
     assert got == sorted(want)
+    assert len(reads) > 1
     assert va_topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_va_search_reads_few_exact_vectors(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(6000, 32))
+    v[:2000] = v[0]  # a third of all rows are one vector
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(6)
+    reads = []
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in va_topk.top_k(df, F.col("vec_id") % 100 == 0, reads=reads).collect())
+    w = np.floor(1024 * v).astype(np.int64)
+    want = []
+    for q in range(0, 6000, 100):
+        s = w @ w[q]
+        best = [i for i in np.lexsort((np.arange(6000), -s)).tolist() if i != q][:10]
+        want += [(q, n + 1, i, int(s[i])) for n, i in enumerate(best)]
+    assert got == sorted(want)
+    assert sum(n for _, n in reads) < 0.02 * sum(n for n, _ in reads)
+
+
+def rates_by_bisection(sizes, sources, want, most=3, slack=mixing.BAND_SLACK):
+    """The same dual, one multiplier at a time: each is where its own gradient is 0, the others held."""
+    sizes, sources = np.array(sizes, float), np.array(sources)
+    unit = sizes.mean()
+    x, band = sizes / unit, np.floor(np.log2(sizes)).astype(int)
+    share = sum(want.values()) / sizes.sum()
+    lam, mu = dict.fromkeys(want, 0.0), dict.fromkeys(band.tolist(), 0.0)
+    rate = lambda: np.minimum(np.exp(np.minimum(x * (np.array([lam[s] for s in sources]) + np.array([mu[b] for b in band])), 50)), most)
+
+    def solve(table, key, own, target, ridge):
+        lo, hi = -500.0, 500.0
+        for _ in range(80):
+            table[key] = (lo + hi) / 2
+            over = (x * rate())[own].sum() - target + ridge * table[key]
+            lo, hi = (lo, table[key]) if over > 0 else (table[key], hi)
+
+    for _ in range(60):
+        for s in want:
+            solve(lam, s, sources == s, want[s] / unit, 0.0)
+        for b in mu:
+            target = share * x[band == b].sum()
+            solve(mu, b, band == b, target, slack * target)
+    for s in want:
+        solve(lam, s, sources == s, want[s] / unit, 0.0)
+    return rate()
+
+
+def test_rates_solve_the_dual(spark):
+    r = random.Random(3)
+    docs = [(i, r.choice([3, 10, 50, 80, 200, 300]), r.choice([0, 0, 0, 1, 2])) for i in range(120)]
+    words = {s: sum(z for _, z, t in docs if t == s) for s in range(3)}
+    want = {0: 0.6 * words[0], 1: 1.4 * words[1], 2: 2.2 * words[2]}
+    cells = spark.createDataFrame([(s, z, 1) for _, z, s in docs], "s int, size long, n long").groupBy("s", "size").agg(F.sum("n").alias("n"))
+    lam, mu, unit = mixing.rates(cells, want)
+    got = np.array([min(3.0, np.exp(min(z / unit * (lam[s] + mu[int(np.log2(z))]), 50))) for _, z, s in docs])
+    for s in want:
+        assert abs(sum(g * z for g, (_, z, t) in zip(got, docs, strict=True) if t == s) - want[s]) <= 1e-4 * want[s]
+    assert np.abs(got - rates_by_bisection([z for _, z, _ in docs], [s for _, _, s in docs], want)).max() < 0.02
+    # without bands the logarithm of a rate is the multiplier times the tokens
+    lam, mu, unit = mixing.rates(cells, {0: 0.6 * words[0], 1: 1.4 * words[1], 2: 2.2 * words[2]}, slack=1e9)
+    assert max(map(abs, mu.values())) < 1e-6
+
+
 def test_mix(spark, odd, none):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(["w"] * r.randrange(1, 200)), r.choice(["a", "b", None, "c", "huge"] + ["huge"] * 5)) for i in range(3000)], "doc_id long, text string, source string")
     got = mixing.mix(docs).collect()
     assert sorted(x.doc_id for x in got) == list(range(3000))
-    by = {}
+    sizes = {x.doc_id: len(x.text.split()) for x in docs.collect()}
+    source = {x.doc_id: x.source for x in docs.collect()}
+    per = {}
+    for i, s in source.items():
+        per[s] = per.get(s, 0) + sizes[i]
+    goal = mixing.targets(per)
+    taken = dict.fromkeys(per, 0)
     for x in got:
-        assert x.taken == x.copies * x["size"] and 0 <= x.copies <= 3
-        by.setdefault((x.source_size, x.target), []).append(x.taken)
-    assert len(by) == 5
-    for (_, target), taken in by.items():
-        assert abs(sum(taken) - target) <= 200
+        assert x["size"] == sizes[x.doc_id] and x.source_size == per[source[x.doc_id]] and abs(x.target - goal[source[x.doc_id]]) < 1e-6
+        assert x.taken == x.copies * x["size"] and 0 <= x.copies <= 3 and abs(x.copies - x.rate) <= 1 + 1e-6
+        taken[source[x.doc_id]] += x.taken
+    assert all(abs(taken[s] - goal[s]) <= 5 for s in per)
+    assert len({round(x.rate, 6) for x in got if source[x.doc_id] == "huge"}) > 50
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
-    assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
+    rows = sorted((repr(x.doc_id), x["size"], x.taken) for x in mixing.mix(odd).collect())
+    assert [(a, b) for a, b, _ in rows] == sorted((repr(x.doc_id), len((x.text or "").encode().split())) for x in odd.collect())
+    assert all(t % max(n, 1) == 0 and t <= 3 * n for _, n, t in rows)
+    assert mixing.mix(none).count() == 0
     assert mixing.targets({"a": 10, "b": 100, None: 0}, (1, 2, 3)) == {"a": 30.0, "b": 80.0, None: 0.0}
-    taken = mixing.take(docs)
-    assert taken.columns == docs.columns and taken.count() == sum(x.copies for x in got)
+    out = mixing.take(docs)
+    assert out.columns == docs.columns and out.count() == sum(x.copies for x in got)
     assert mixing.take(none).count() == 0
 
 
-def test_repeats(spark, odd, none):
+def test_mix_of_equal_rows(spark):
+    """A third of all rows are one document; its copies are still rounded to the target."""
+    docs = spark.createDataFrame([(1, "w " * 30, "a")] * 700 + [(i, "w " * (i % 60), "b" if i % 2 else "a") for i in range(1400)], "doc_id long, text string, source string")
+    by = {}
+    for x in mixing.mix(docs).collect():
+        by.setdefault(x.target, []).append(x.taken)
+    assert all(abs(sum(t) - goal) <= 60 for goal, t in by.items())
+
+
+@pytest.mark.parametrize("block_phrases", [rlz.BLOCK_PHRASES, 1])
+def test_repeats(spark, odd, none, block_phrases):
     r = random.Random(6)
     passage = [[r.choice("abcdefghijkl") * r.randrange(1, 4) for _ in range(r.randrange(30, 120))] for _ in range(6)]
     texts = []
@@ -256,7 +345,7 @@ def test_repeats(spark, odd, none):
         texts.append(" \n".join(w for p in parts for w in p))
     rows = [(i, t) for i, t in enumerate([*texts, *ODD])] + [(5, texts[7]), (None, texts[3])]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, spans int")
-    got = sorted((repr(x.doc_id), x.n_words, x.n_removed, x.kept) for x in rlz.remove_repeats(docs, sent_rows=r.choice([0, 1000])).collect())
+    got = sorted((repr(x.doc_id), x.n_words, x.n_removed, x.kept) for x in rlz.remove_repeats(docs, block_phrases=block_phrases).collect())
     first = {}
     words = [(t or "").encode().split() for _, t in rows]
     rank = lambda i: (i is None, i)
@@ -291,21 +380,56 @@ def test_secrets(spark, odd, none):
     assert out.columns == odd.columns and sorted(map(repr, (r.text for r in out.collect()))) == sorted(map(repr, (r.text for r in odd.collect())))
 
 
-def test_shards(spark, odd, none):
-    r = random.Random(8)
-    docs = spark.createDataFrame([(i, "x" * r.randrange(0, 400), r.choice(["en", None]), f"s{r.randrange(3)}", 5) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = kd_shards.shard(docs, 24).collect()
-    assert sorted(x.doc_id for x in got) == list(range(2000))
+def check_shards(rows, got, shards):
+    """Sizes near equal, slots gapless, and each input row there once; returns the greatest difference between shards."""
+    assert sorted((repr(x.doc_id), x["size"], x.text_crc32) for x in got) == sorted((repr(r.doc_id), len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows)
     by = {}
     for x in got:
+        assert x.law == "bytes" and x.grown_shard is None
         by.setdefault(x.shard, []).append(x)
-    assert sorted(by) == list(range(24))
-    sizes = [sum(x["size"] for x in b) for b in by.values()]
-    assert max(sizes) - min(sizes) <= 5 * 408
+    assert set(by) <= set(range(shards))
     assert all(sorted(x.slot for x in b) == list(range(len(b))) for b in by.values())
-    texts = {x.doc_id: x.text for x in docs.collect()}
-    assert all(x.text_crc32 == zlib.crc32(texts[x.doc_id].encode()) and x["size"] == len(texts[x.doc_id]) + 8 for x in got)
-    assert kd_shards.shard(odd, 24).count() == odd.count() and kd_shards.shard(none, 24).count() == 0
+    sizes = [sum(x["size"] for x in by.get(k, [])) for k in range(shards)]
+    return max(sizes) - min(sizes)
+
+
+def test_shards(spark, odd, none):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, "x" * r.randrange(0, 400), r.choice(["en", None]), f"s{r.randrange(3)}", 5) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = kd_shards.shard(docs, 24).collect()
+    # a split leaves each half within one document of its share, and there are five levels
+    assert check_shards(docs.collect(), got, 24) <= 5 * 408
+    assert len({x.shard for x in got}) == 24
+    again = kd_shards.shard(docs.repartition(7), 24).collect()
+    assert sorted((x.doc_id, x.shard, x.slot) for x in got) == sorted((x.doc_id, x.shard, x.slot) for x in again)
+    check_shards(odd.collect(), kd_shards.shard(odd, 24).collect(), 24)
+    assert kd_shards.shard(none, 24).count() == 0
+    assert {x.shard for x in kd_shards.shard(odd, 1).collect()} == {0}
+
+
+def test_shards_of_equal_rows(spark):
+    """A third of all rows, and then all of them, agree in everything."""
+    rows = [(1, "same text", "en", "src", 9)] * 4000
+    other = [(i, "y" * (i % 90), "de", f"commoncrawl-{i % 8}", i % 90) for i in range(8000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert check_shards([*spark.createDataFrame(rows, schema).collect()], kd_shards.shard(spark.createDataFrame(rows, schema), 24).collect(), 24) <= 17
+    docs = spark.createDataFrame(rows + other, schema)
+    assert check_shards(docs.collect(), kd_shards.shard(docs, 24).collect(), 24) <= 5 * 98
+
+
+def test_strings_enter_by_rank(spark):
+    names = [*(f"commoncrawl-{i}" for i in range(8)), "", "\U0001f600", "\uffff", None]
+    rows = spark.createDataFrame([(n,) for n in names * 3], "d0 string").withColumn("name", F.col("d0"))
+    got = {x.name: x.d0 for x in kd_shards.ranked(rows, "d0").collect()}
+    want = {n: float(i) for i, n in enumerate(sorted(n for n in names if n is not None))} | {None: -1.0}
+    assert got == want
+
+
+def test_shards_of_the_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    most = docs.select(F.max(F.octet_length("text"))).first()[0] + 8
+    assert check_shards(docs.select("doc_id", "text").collect(), queries.op10_kd_shards(spark, sf).collect(), 24) <= most
 
 
 def edited_texts(n, least, most, seed):
@@ -369,3 +493,79 @@ def test_secrets_of_any_letters_behind_joining_words():
             assert guessed(f"{context}{secret} and so on") == [secret], context
     for prose in ("the password is sunshine", "the secret to happiness", "a token is represented by understanding", "the secret of the house was authentication"):
         assert guessed(prose) == []
+
+
+def cost_of_segment(value, start, end, ranks):
+    """The least cost of one segment other than brute force, from its definition."""
+    part, costs = value[start:end], []
+    n, low = len(part), part.lower()
+    for word, extra in ((low, 0.0), (low.translate(secret_scan._LEET), math.log10(2))):
+        if 3 <= n <= 20 and word in ranks:
+            costs.append(ranks[word] + extra + math.log10(2) * (part != low))
+            break
+    if n >= 3 and all(secret_scan._near(a, b) for a, b in zip(low, low[1:])):
+        costs.append(math.log10(47) + 0.5 * (n - 1))
+    for width in (1, 2, 3, 4):
+        if n >= 3 and n % width == 0 and n > width and part == part[:width] * (n // width):
+            costs.append(width * secret_scan._alphabet(value) + math.log10(n // width))
+    if secret_scan._DATE.fullmatch(part):
+        costs.append(4.4 if n > 4 else 2.1)
+    return min(costs, default=math.inf) + 0.48 * (start > 0)
+
+
+def cost_by_enumeration(value, ranks):
+    """All ways to cut the value, each part a segment or brute force."""
+    n, per, best = len(value), secret_scan._alphabet(value), math.inf
+    for cuts in range(1 << max(n - 1, 0)):
+        at = [0, *(i + 1 for i in range(n - 1) if cuts >> i & 1), n]
+        best = min(best, sum(min(cost_of_segment(value, a, b, ranks), per * (b - a)) for a, b in zip(at, at[1:])))
+    return best if n else 0.0
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="asdqwe12PpO0$l", max_size=8) | st.sampled_from(["2024word", "aaaqwert", "19991231", "ababab12", "p@ssw0rd", "1212dogs", "asdfasdf", "zzzzzzzz"]))
+def test_guess_cost_is_the_least_of_all_segmentations(value):
+    ranks = {"password": 0.3, "pass": 1.5, "word": 1.2, "dog": 1.0, "dogs": 2.0, "sad": 1.0, "wed": 1.1, "old": 1.4}
+    assert abs(secret_scan.guess_cost(value, ranks) - cost_by_enumeration(value, ranks)) < 1e-9
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "api_key", "apikey", "secret", '"', "'", ":", "=", " ", "AKIA", "ABCDEFGHIJKLMNOP1", "0123456789abcdef", "deadbeef", "x/+_.=-", "g", "\n", "é", "ſ"]), max_size=14))
+def test_base_spans_equal_a_plain_scan(parts):
+    text = "".join(parts)
+
+    def run(at, letters):
+        end = at
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end
+
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+    spaces = lambda at: run(at, " ")
+    quote = lambda at: at + (at < len(text) and text[at] in "\"'")
+    want = []
+    at = 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(name)].isascii() and text[at : at + len(name)].lower() == name:
+                sign = spaces(quote(at + len(name)))
+                if sign < len(text) and text[sign] in ":=":
+                    start = quote(spaces(sign + 1))
+                    if run(start, value) > start:
+                        end = run(start, value)
+                        if end - start >= 6:
+                            want.append(("assign", at, end))
+                        break
+        at = end or at + 1
+    for kind, head, letters, least in (("access", "AKIA", set(string.ascii_uppercase + string.digits), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), letters) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    want.append((kind, at, end))
+                at = end
+            else:
+                at += 1
+    assert secret_scan.find_spans(text)[0] == sorted(want, key=lambda w: (w[1], secret_scan.KINDS.index(w[0])))
