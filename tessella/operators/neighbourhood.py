@@ -1,9 +1,9 @@
 """Neighbourhood operators on pixel tables (img, y, x, v).
 
-A pixel is sent to each cell that it matters for, and cells are combined by an
-aggregation. So there is no join, partial aggregation shrinks the rows before
-the shuffle, and missing cells need no filling in. Cells are keyed by image and
-place, so one large image spreads over all tasks.
+Images are cut into tiles with margins (``tiles``), so one shuffle carries
+little more than the pixels, whatever the size of a kernel, and a large image
+is spread over all tasks. Sizes are (height, width) and hold for all images of
+a table.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import pixel
 from tessella.operators import regions
+from tessella.operators.tiles import Tile, over_tiles
 
 KEY = ("img", "y", "x")
 #: Offsets of 3x3 kernels, row by row.
@@ -24,51 +26,89 @@ NINE = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 KERNELS = {"sobel": (1, 2, 1), "scharr": (3, 10, 3), "prewitt": (1, 1, 1)}
 #: The 16 places of a circle of radius 3, clockwise from the top.
 RING = [(-3, 0), (-3, 1), (-2, 2), (-1, 3), (0, 3), (1, 3), (2, 2), (3, 1), (3, 0), (3, -1), (2, -2), (1, -3), (0, -3), (-1, -3), (-2, -2), (-3, -1)]
+BORDERS = ("zero", "replicate", "ignore")
+_TAN_LOW, _TAN_HIGH = 0.41421356237309503, 2.414213562373095
 
 
-def scatter(px: DataFrame, offsets: Sequence[tuple[int, int]], weights: Sequence[float] | None = None, value: str = "v") -> DataFrame:
-    """Each pixel at each cell it is a neighbour of: img, y, x, k (which offset), v and w."""
-    weights = [1] * len(offsets) if weights is None else weights
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for k, ((dy, dx), w) in enumerate(zip(offsets, weights, strict=True))])
-    e = px.select("img", "y", "x", F.col(value).alias("v"), F.explode(taps).alias("t"))
-    return e.select("img", (F.col("y") - F.col("t.dy")).alias("y"), (F.col("x") - F.col("t.dx")).alias("x"), F.col("t.k").alias("k"), "v", F.col("t.w").alias("w"))
+def _reach(offsets: Sequence[tuple[int, int]]) -> tuple[int, int]:
+    return max(abs(dy) for dy, _ in offsets), max(abs(dx) for _, dx in offsets)
 
 
-def _own(offsets: Sequence[tuple[int, int]]) -> Column:
-    """True for cells that are pixels themselves; needs the offset (0, 0)."""
-    return F.max(F.col("k") == list(offsets).index((0, 0)))
+def _bordered(t: Tile, s: np.ndarray, own: np.ndarray, size: tuple[int, int], reach: tuple[int, int], border: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells are put out, and their values, by the border rule."""
+    frame = t.frame(size, *reach)
+    if border == "ignore":
+        return t.there() & ~frame, s
+    return t.there(), np.where(frame, 0 if border == "zero" else own, s)
 
 
-def correlate(px: DataFrame, offsets: Sequence[tuple[int, int]], weights: Sequence[float], value: str = "v") -> DataFrame:
-    """Sum of weighted neighbours at every pixel; beyond the border and at missing cells the value is 0."""
-    if (0, 0) not in offsets:
-        offsets, weights = [*offsets, (0, 0)], [*weights, 0]
-    s = scatter(px, offsets, weights, value).groupBy(*KEY).agg(F.sum(F.col("v") * F.col("w")).alias("s"), _own(offsets).alias("own"))
-    return s.where("own").drop("own")
+def correlate(px: DataFrame, offsets: Sequence[tuple[int, int]], weights: Sequence[float], size: tuple[int, int], *, value: str = "v", border: str = "zero") -> DataFrame:
+    """Sum ``s`` of weighted neighbours at every pixel; missing cells inside an image count 0.
 
+    Where the kernel leaves the image, the result is 0, with the border
+    "replicate" the pixel itself, and with "ignore" there is no row.
+    """
+    if border not in BORDERS:
+        raise ValueError(f"unknown border {border}")
+    whole = all(isinstance(w, int) for w in weights) and px.schema[value].dataType.simpleString() not in ("double", "float")
+    reach = _reach(offsets)
+
+    def work(t: Tile):
+        s = sum(t.near(dy, dx, value) * w for (dy, dx), w in zip(offsets, weights, strict=True))
+        keep, s = _bordered(t, s, t.near(0, 0, value), size, reach, border)
+        return keep, {"s": s.astype(np.int64 if whole else np.float64)}
+
+    return over_tiles(px, max(reach), work, "s long" if whole else "s double", (value,))
 
-def correlate_fixed(px: DataFrame, kernel: Sequence[int], vertical: bool) -> DataFrame:
-    """One pass of a separable kernel in 16-bit fixed point: each product is shifted before it is added."""
+
+def correlate_fixed(px: DataFrame, kernel: Sequence[int], vertical: bool, size: tuple[int, int], *, border: str = "zero") -> DataFrame:
+    """One pass of a separable kernel in 16-bit fixed point: each product is shifted before it is added, and the sum cut to 0..255."""
     half = len(kernel) // 2
     offsets = [(i - half, 0) if vertical else (0, i - half) for i in range(len(kernel))]
-    s = scatter(px, offsets, list(kernel)).groupBy(*KEY).agg(F.sum(F.shiftright(F.col("v") * F.col("w"), 16)).alias("s"), _own(offsets).alias("own"))
-    return s.where("own").select(*KEY, F.least(F.greatest("s", F.lit(0)), F.lit(255)).cast("int").alias("v"))
 
+    def work(t: Tile):
+        s = np.clip(sum(t.near(dy, dx) * k >> 16 for (dy, dx), k in zip(offsets, kernel, strict=True)), 0, 255)
+        keep, s = _bordered(t, s, t.near(0, 0), size, _reach(offsets), border)
+        return keep, {"v": s.astype(np.int32)}
+
+    return over_tiles(px, half, work, "v int")
 
-def gradients(px: DataFrame, name: str) -> DataFrame:
-    """Both first derivatives by a named 3x3 kernel: gx, gy."""
+
+def gradients(px: DataFrame, name: str, size: tuple[int, int]) -> DataFrame:
+    """Both first derivatives by a named 3x3 kernel: gx, gy; 0 on the image's frame."""
     a = KERNELS[name]
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(a[dy + 1] * dx).alias("wx"), F.lit(a[dx + 1] * dy).alias("wy")) for k, (dy, dx) in enumerate(NINE)])
-    e = px.select("img", "y", "x", "v", F.explode(taps).alias("t"))
-    e = e.select("img", (F.col("y") - F.col("t.dy")).alias("y"), (F.col("x") - F.col("t.dx")).alias("x"), "t.k", (F.col("v") * F.col("t.wx")).alias("px"), (F.col("v") * F.col("t.wy")).alias("py"))
-    return e.groupBy(*KEY).agg(F.sum("px").alias("gx"), F.sum("py").alias("gy"), _own(NINE).alias("own")).where("own").drop("own")
 
+    def work(t: Tile):
+        inside = ~t.frame(size, 1, 1)
+        gx = sum(t.near(dy, dx) * (a[dy + 1] * dx) for dy, dx in NINE) * inside
+        gy = sum(t.near(dy, dx) * (a[dx + 1] * dy) for dy, dx in NINE) * inside
+        return t.there(), {"gx": gx, "gy": gy}
+
+    return over_tiles(px, 1, work, "gx long, gy long")
+
+
+def differences(px: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Differences gx of the neighbours in a row (0 in the first and last column) and gy of those in a column (0 in the first and last row)."""
 
-def edges(px: DataFrame, name: str) -> DataFrame:
-    """Edge strength |gx| + |gy|, scaled so that each image's greatest is 255."""
-    g = gradients(px, name).withColumn("g", F.abs("gx") + F.abs("gy"))
-    top = g.groupBy("img").agg(F.max("g").alias("top"))
-    return g.join(top, "img").select(*KEY, F.floor(F.try_divide(F.col("g") * 255, F.col("top"))).cast("int").alias("v"))
+    def work(t: Tile):
+        gx = (t.near(0, 1) - t.near(0, -1)) * ~t.frame(size, 0, 1)
+        gy = (t.near(1, 0) - t.near(-1, 0)) * ~t.frame(size, 1, 0)
+        return t.there(), {"gx": gx, "gy": gy}
+
+    return over_tiles(px, 1, work, "gx long, gy long")
+
+
+def polar(g: DataFrame, degrees: bool = True) -> DataFrame:
+    """Magnitude and direction of derivatives gx, gy; directions in [0, 360), or in radians."""
+    turn = pixel.degrees_of(F.col("gy").cast("double"), F.col("gx").cast("double"))
+    return g.select(*KEY, F.hypot(F.col("gx").cast("double"), F.col("gy").cast("double")).alias("magnitude"), (turn if degrees else F.radians(turn)).alias("direction"))
+
+
+def edges(px: DataFrame, name: str, size: tuple[int, int]) -> DataFrame:
+    """Edge strength |gx| + |gy|, scaled so that each image's greatest is 255; all 0 where there is none."""
+    g = gradients(px, name, size).withColumn("g", F.abs("gx") + F.abs("gy"))
+    top = g.groupBy("img").agg(F.greatest(F.max("g"), F.lit(1)).alias("top"))
+    return g.join(top, "img").select(*KEY, F.floor(F.col("g") * 255 / F.col("top")).cast("int").alias("v"))
 
 
 def morph(px: DataFrame, op: str, shape: str = "rect", radius: int = 1) -> DataFrame:
@@ -77,13 +117,19 @@ def morph(px: DataFrame, op: str, shape: str = "rect", radius: int = 1) -> DataF
     inside = {"rect": lambda y, x: True, "cross": lambda y, x: y == 0 or x == 0, "diamond": lambda y, x: abs(y) + abs(x) <= radius}[shape]
     offsets = [(y, x) for y in r for x in r if inside(y, x)]
 
-    def step(d: DataFrame, f) -> DataFrame:
-        return scatter(d, offsets).groupBy(*KEY).agg(f("v").alias("v"), _own(offsets).alias("own")).where("own").drop("own")
+    halo = max(_reach(offsets))
 
-    steps = {"erode": [F.min], "dilate": [F.max], "open": [F.min, F.max], "close": [F.max, F.min]}
+    def spread(f, worst: int):
+        def work(t: Tile):
+            return f.reduce([np.where(t.there(dy, dx), t.near(dy, dx), worst) for dy, dx in offsets])
+
+        return work
+
+    low, high = spread(np.minimum, 1 << 40), spread(np.maximum, -(1 << 40))
+    step = lambda d, f: over_tiles(d, halo, lambda t: (t.there(), {"v": f(t).astype(np.int32)}), "v int")
+    steps = {"erode": [low], "dilate": [high], "open": [low, high], "close": [high, low]}
     if op == "gradient":
-        s = scatter(px, offsets).groupBy(*KEY).agg((F.max("v") - F.min("v")).alias("v"), _own(offsets).alias("own"))
-        return s.where("own").drop("own")
+        return step(px, lambda t: high(t) - low(t))
     if op in ("tophat", "blackhat"):
         other = morph(px, "open" if op == "tophat" else "close", shape, radius).withColumnRenamed("v", "o")
         d = F.col("v") - F.col("o") if op == "tophat" else F.col("o") - F.col("v")
@@ -94,24 +140,51 @@ def morph(px: DataFrame, op: str, shape: str = "rect", radius: int = 1) -> DataF
 
 
 def integral(px: DataFrame) -> DataFrame:
-    """Sum of all pixels above and to the left, the own one included: running sums along rows, then columns."""
-    rows = px.withColumn("r", F.sum(F.col("v").cast("long")).over(Window.partitionBy("img", "y").orderBy("x")))
-    # a row without a pixel at x still counts there: rows are carried along as steps between pixels
-    steps = rows.select("img", "y", "x", (F.col("r") - F.lag("r", 1, 0).over(Window.partitionBy("img", "y").orderBy("x"))).alias("d"))
-    cells = steps.select("img", "y").distinct().join(steps.select("img", "x").distinct(), "img")
-    dense = cells.join(steps, ["img", "y", "x"], "left").fillna(0, ["d"])
-    along = dense.withColumn("r", F.sum("d").over(Window.partitionBy("img", "y").orderBy("x")))
-    return along.select("img", "y", "x", F.sum("r").over(Window.partitionBy("img", "x").orderBy("y")).alias("s"))
-
-
-def local_mean_threshold(px: DataFrame, block: int, delta: int) -> DataFrame:
-    """255 where a pixel is above its block's mean less ``delta``; the mean is over the pixels there are."""
-    if block % 2 == 0:
-        raise ValueError("the block must be odd")
-    h = block // 2
-    offsets = [(y, x) for y in range(-h, h + 1) for x in range(-h, h + 1)]
-    s = scatter(px, offsets).groupBy(*KEY).agg(F.sum("v").alias("s"), F.count("v").alias("n"), F.max(F.when(F.col("k") == offsets.index((0, 0)), F.col("v"))).alias("v"))
-    return s.where("v IS NOT NULL").select(*KEY, F.when(F.col("v") * F.col("n") - F.col("s") > -delta * F.col("n"), 255).otherwise(0).alias("v"))
+    """Sums ``s`` of all pixels above and to the left, the own one not included, and ``q`` of their squares.
+
+    The result is one row and one column larger than the image; its first row
+    and column are 0. Running sums along rows, then along columns.
+    """
+    frame = px.groupBy("img").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    cells = frame.select("img", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y"), "w").select("img", "y", F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"))
+    moved = px.select("img", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), F.col("v").cast("double").alias("v"))
+    dense = cells.join(moved, list(KEY), "left").fillna(0.0, ["v"]).withColumn("u", F.col("v") * F.col("v"))
+    row, column = Window.partitionBy("img", "y").orderBy("x"), Window.partitionBy("img", "x").orderBy("y")
+    along = dense.select(*KEY, F.sum("v").over(row).alias("v"), F.sum("u").over(row).alias("u"))
+    return along.select(*KEY, F.sum("v").over(column).alias("s"), F.sum("u").over(column).alias("q"))
+
+
+def mean_kernel(size: int) -> list[int]:
+    """Equal weights in 16-bit fixed point, from a quotient of single precision."""
+    if size % 2 == 0:
+        raise ValueError("the size must be odd")
+    return [int(np.float32(1) / np.float32(size) * np.float32(0xFFFF))] * size
+
+
+def local_threshold(px: DataFrame, kernel: Sequence[int], delta: float, size: tuple[int, int], *, most: float = 255, invert: bool = False) -> DataFrame:
+    """``most`` where a pixel less its neighbourhood's mean is above ``-delta``, else 0; the other way round with ``invert``.
+
+    The mean is a fixed-point kernel along rows, then along columns, each cut
+    to 8 bits; where the kernel leaves the image it is 0.
+    """
+    if len(kernel) % 2 == 0 or most < 0:
+        raise ValueError("the kernel must be odd, and the value not negative")
+    half, near = len(kernel) // 2, int(min(max(delta, 0), 255) + 0.5)
+    yes, no = (0, int(min(most, 255) + 0.5)) if invert else (int(min(most, 255) + 0.5), 0)
+
+    def work(t: Tile):
+        rows = sum(t.near(0, i - half, margin=half)[:, half : half + t.side] * k >> 16 for i, k in enumerate(kernel))
+        rows = np.minimum(rows, 255) * ~((t.x < half) | (t.x >= size[1] - half))
+        mean = np.minimum(sum(rows[i : i + t.side] * k >> 16 for i, k in enumerate(kernel)), 255)
+        mean = np.where(t.frame(size, half, 0), 0, mean)
+        return t.there(), {"v": np.where(t.near(0, 0) - mean > -near, yes, no).astype(np.int32)}
+
+    return over_tiles(px, 2 * half, work, "v int")
+
+
+def local_mean_threshold(px: DataFrame, block: int, delta: float, size: tuple[int, int], *, most: float = 255, invert: bool = False) -> DataFrame:
+    """``local_threshold`` with the mean of a square block."""
+    return local_threshold(px, mean_kernel(block), delta, size, most=most, invert=invert)
 
 
 def fast_corners(px: DataFrame, threshold: int = 20, arc: int = 9) -> DataFrame:
@@ -120,26 +193,33 @@ def fast_corners(px: DataFrame, threshold: int = 20, arc: int = 9) -> DataFrame:
     Strength is the largest margin that an arc as a whole holds, plus the
     threshold, less 1. Pixels whose circle has missing cells are no corners.
     """
-    offsets = [*RING, (0, 0)]
-    ring = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"p{k}") for k in range(17)]
-    c = scatter(px, offsets).groupBy(*KEY).agg(*ring)
-    c = c.where(" AND ".join(f"p{k} IS NOT NULL" for k in range(17)))
-    around = F.array(*[F.col(f"p{k % 16}") - F.col("p16") for k in range(16 + arc - 1)])
-    c = c.select(*KEY, around.alias("d"))
-    arcs = lambda sign: F.array_max(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.array_min(F.transform(F.slice("d", i, arc), lambda x: x * sign))))
-    margin = F.greatest(arcs(1), arcs(-1)) - threshold
-    return c.select(*KEY, margin.alias("m")).where("m > 0").select(*KEY, (F.col("m") + threshold - 1).alias("strength"))
+
+    def work(t: Tile):
+        d = np.stack([t.near(*RING[k % 16]) - t.near(0, 0) for k in range(16 + arc - 1)])
+        best = np.full((t.side, t.side), -(1 << 40))
+        for first in range(16):
+            part = d[first : first + arc]
+            best = np.maximum(best, np.maximum(part.min(axis=0), -part.max(axis=0)))
+        whole = np.logical_and.reduce([t.there(*o) for o in RING]) & t.there()
+        return whole & (best > threshold), {"strength": (best - 1).astype(np.int32)}
+
+    return over_tiles(px, 3, work, "strength int")
 
 
 def strict_peaks(px: DataFrame, value: str = "v") -> DataFrame:
     """Pixels greater than all eight neighbours; equal neighbours suppress each other."""
-    n = scatter(px, NINE, value=value).groupBy(*KEY).agg(F.max(F.when(F.col("k") == 4, F.col("v"))).alias(value), F.max(F.when(F.col("k") != 4, F.col("v"))).alias("around"))
-    return n.where(F.col(value).isNotNull() & (F.coalesce("around", F.lit(-1)) < F.col(value))).drop("around")
 
+    def work(t: Tile):
+        around = np.maximum.reduce([np.where(t.there(*o), t.near(*o, value), -1) for o in NINE if o != (0, 0)])
+        return t.there() & (around < t.near(0, 0, value)), {value: t.near(0, 0, value)}
 
-def hog_cells(px: DataFrame, cell: int = 8, bins: int = 9) -> DataFrame:
+    kind = px.schema[value].dataType.simpleString()
+    return over_tiles(px, 1, work, f"{value} {'double' if kind in ('double', 'float') else 'long'}", (value,)).withColumn(value, F.col(value).cast(kind))
+
+
+def hog_cells(px: DataFrame, size: tuple[int, int], cell: int = 8, bins: int = 9) -> DataFrame:
     """Gradient orientation histograms of cells: unsigned directions in ``bins`` bins, weighted by magnitude."""
-    g = correlate(px, [(0, -1), (0, 1)], [-1, 1]).withColumnRenamed("s", "gx").join(correlate(px, [(-1, 0), (1, 0)], [-1, 1]).withColumnRenamed("s", "gy"), list(KEY))
+    g = differences(px, size)
     angle = F.pmod(F.degrees(F.atan2(F.col("gy").cast("double"), F.col("gx").cast("double"))) + 180.0, F.lit(180.0))
     binned = g.select("img", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"), F.least(F.floor(angle / (180.0 / bins)), F.lit(bins - 1)).alias("bin"), F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")).alias("m"))
     return binned.groupBy("img", "cy", "cx", "bin").agg(F.sum("m").alias("weight"))
@@ -183,27 +263,35 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
     return [r / sum(raw) for r in raw]
 
 
-def separable(px: DataFrame, kernel: Sequence[float]) -> DataFrame:
+def separable(px: DataFrame, kernel: Sequence[float], size: tuple[int, int], *, border: str = "zero") -> DataFrame:
     """A kernel along rows, then the same along columns; result s."""
     half = len(kernel) // 2
-    rows = correlate(px, [(0, i - half) for i in range(len(kernel))], kernel)
-    return correlate(rows, [(i - half, 0) for i in range(len(kernel))], kernel, value="s")
+    rows = correlate(px, [(0, i - half) for i in range(len(kernel))], kernel, size, border=border)
+    return correlate(rows, [(i - half, 0) for i in range(len(kernel))], kernel, size, value="s", border=border)
 
 
-def canny(px: DataFrame, low: int, high: int) -> DataFrame:
+def canny(px: DataFrame, low: float, high: float, size: tuple[int, int], *, of_mean: bool = False) -> DataFrame:
     """Edge pixels: |gx| + |gy| of the Sobel kernel, thinned across the edge, then kept by hysteresis.
 
-    A pixel survives thinning if neither neighbour along its gradient is greater; gradients
-    within 22.5 degrees of an axis are compared along it, others along the diagonal.
+    A pixel survives thinning if neither neighbour along its gradient is
+    greater; gradients within 22.5 degrees of an axis are compared along it,
+    others along the diagonal. With ``of_mean`` the limits are factors of each
+    image's mean pixel.
     """
-    g = gradients(px, "sobel").withColumn("v", F.abs("gx") + F.abs("gy"))
-    around = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"n{k}") for k in range(9)]
-    near = scatter(g, NINE).groupBy(*KEY).agg(*around).where("n4 IS NOT NULL").join(g.select(*KEY, "gx", "gy"), list(KEY))
-    ax, ay = F.abs("gx"), F.abs("gy")
-    pair = lambda a, b: F.greatest(F.coalesce(f"n{a}", F.lit(0)), F.coalesce(f"n{b}", F.lit(0)))
-    flat, steep = ay < ax * 0.41421356237309503, ay > ax * 2.414213562373095
-    rival = F.when(flat, pair(3, 5)).when(steep, pair(1, 7)).when((F.col("gx") > 0) == (F.col("gy") > 0), pair(0, 8)).otherwise(pair(2, 6))
-    thin = near.where(rival <= F.col("n4")).select(*KEY, F.col("n4").alias("v"))
+    g = gradients(px, "sobel", size).withColumn("v", F.abs("gx") + F.abs("gy"))
+
+    def work(t: Tile):
+        v, gx, gy = t.near(0, 0), t.near(0, 0, "gx"), t.near(0, 0, "gy")
+        ax, ay = np.abs(gx), np.abs(gy)
+        pair = lambda dy, dx: np.maximum(t.near(dy, dx), t.near(-dy, -dx))
+        rival = np.where(ay < ax * _TAN_LOW, pair(0, 1), np.where(ay > ax * _TAN_HIGH, pair(1, 0), np.where((gx > 0) == (gy > 0), pair(1, 1), pair(1, -1))))
+        return t.there() & (rival <= v), {"v": v}
+
+    thin = over_tiles(g, 1, work, "v long", ("v", "gx", "gy"))
+    if of_mean:
+        mean = px.groupBy("img").agg(F.avg("v").alias("mean"))
+        limit = thin.join(mean, "img").withColumn("v", F.col("v") / F.greatest("mean", F.lit(1e-9)))
+        return regions.hysteresis(limit, low, high)
     return regions.hysteresis(thin, low, high)
 
 
@@ -257,15 +345,18 @@ def patch_orientation(px: DataFrame, diameter: int) -> DataFrame:
     """First moments (m10, m01) of the disc around each pixel and the direction of their sum, in degrees [0, 360)."""
     r = diameter // 2
     disc = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy * dy + dx * dx <= r * r]
-    s = scatter(px, disc).withColumn("dy", F.get(F.array(*[F.lit(d[0]) for d in disc]), F.col("k"))).withColumn("dx", F.get(F.array(*[F.lit(d[1]) for d in disc]), F.col("k")))
-    m = s.groupBy(*KEY).agg(F.sum(F.col("v") * F.col("dx")).alias("m10"), F.sum(F.col("v") * F.col("dy")).alias("m01"), _own(disc).alias("own"))
-    return m.where("own").select(*KEY, "m10", "m01", pixel.degrees_of(F.col("m01").cast("double"), F.col("m10").cast("double")).alias("angle"))
+
+    def work(t: Tile):
+        return t.there(), {"m10": sum(t.near(dy, dx) * dx for dy, dx in disc), "m01": sum(t.near(dy, dx) * dy for dy, dx in disc)}
+
+    m = over_tiles(px, r, work, "m10 long, m01 long")
+    return m.withColumn("angle", pixel.degrees_of(F.col("m01").cast("double"), F.col("m10").cast("double")))
 
 
 def hough_peaks(votes: DataFrame, most: int) -> DataFrame:
     """Lines with no greater neighbour in (rho, t); of each image's, the ``most`` strongest, ties to smaller rho, then t."""
     p = votes.select("img", F.col("rho").alias("y"), F.col("t").alias("x"), F.col("votes").alias("v"))
-    n = scatter(p, NINE).groupBy(*KEY).agg(F.max(F.when(F.col("k") == 4, F.col("v"))).alias("votes"), F.max("v").alias("top")).where("votes = top")
+    n = over_tiles(p, 1, lambda t: (t.there() & (np.maximum.reduce([t.near(*o) for o in NINE]) == t.near(0, 0)), {"votes": t.near(0, 0)}), "votes long")
     rank = F.row_number().over(Window.partitionBy("img").orderBy(F.desc("votes"), "y", "x"))
     return n.withColumn("rank", rank).where(F.col("rank") <= most).select("img", F.col("y").alias("rho"), F.col("x").alias("t"), "votes")
 

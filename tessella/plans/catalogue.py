@@ -25,6 +25,9 @@ PX = f"WITH {X.RASTER_SQL}"
 VEC = f"WITH {X.VECTORS_SQL}"
 PT = f"WITH {X.POINTS_SQL}"
 RGB = f"WITH {X.COLOURS_SQL}"
+SIZE = (X.SIDE, X.SIDE)
+#: Cells of rasters, and where a 3x3 kernel stays inside the image.
+IN3 = "(a.y BETWEEN 1 AND 30 AND a.x BETWEEN 1 AND 30)"
 
 
 def register(sql: str | None = None) -> Callable[[Query], Query]:
@@ -163,10 +166,20 @@ def otsu_mask_rows(spark, sf_dir):
     return A.projection(A.binarise(px, A.otsu(px)), "y")
 
 
-@register(f"""{PX} SELECT a.img, a.y, a.x, CASE WHEN any_value(a.v) * count(*) - sum(b.v) > -4 * count(*) THEN 255 ELSE 0 END AS v
-FROM raster a JOIN raster b ON a.img = b.img AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY 1, 2, 3""")
+_MEAN5 = N.mean_kernel(5)[0]
+_MEAN_SQL = f"""{PX}, every AS (SELECT i.img, CAST(gy AS INT) AS y, CAST(gx AS INT) AS x, coalesce(v, 0) AS v FROM (SELECT DISTINCT img FROM raster) i CROSS JOIN (SELECT unnest(range(0, 32)) AS gy) CROSS JOIN (SELECT unnest(range(0, 32)) AS gx) LEFT JOIN raster r ON r.img = i.img AND r.y = gy AND r.x = gx),
+h AS (SELECT a.img, a.y, a.x, CASE WHEN a.x BETWEEN 2 AND 29 THEN least(sum((b.v * {_MEAN5})::BIGINT >> 16), 255) ELSE 0 END AS m FROM every a JOIN every b ON a.img = b.img AND a.y = b.y AND abs(a.x - b.x) <= 2 GROUP BY 1, 2, 3),
+m AS (SELECT a.img, a.y, a.x, CASE WHEN a.y BETWEEN 2 AND 29 THEN least(sum((b.m * {_MEAN5})::BIGINT >> 16), 255) ELSE 0 END AS m FROM h a JOIN h b ON a.img = b.img AND a.x = b.x AND abs(a.y - b.y) <= 2 GROUP BY 1, 2, 3)"""
+
+
+@register(f"{_MEAN_SQL} SELECT img, y, x, CASE WHEN v - m > -4 THEN 255 ELSE 0 END AS v FROM raster JOIN m USING (img, y, x)")
 def threshold_adaptive(spark, sf_dir):
-    return N.local_mean_threshold(X.raster(spark, sf_dir), 5, 4)
+    return N.local_mean_threshold(X.raster(spark, sf_dir), 5, 4, SIZE)
+
+
+@register(f"{_MEAN_SQL} SELECT img, y, x, CASE WHEN v - m > -21 THEN 0 ELSE 200 END AS v FROM raster JOIN m USING (img, y, x)")
+def threshold_adaptive_inverted(spark, sf_dir):
+    return N.local_mean_threshold(X.raster(spark, sf_dir), 5, 21, SIZE, most=200, invert=True)
 
 
 @register(f"""{PX}, c AS (SELECT img, v, count(*) AS n FROM raster GROUP BY 1, 2), t AS (SELECT img, v, CAST(floor(sum(n) OVER (PARTITION BY img ORDER BY v) * 255.0::DOUBLE / sum(n) OVER (PARTITION BY img)) AS INT) AS q FROM c)
@@ -249,8 +262,8 @@ def fit_parabola(spark, sf_dir):
 
 # neighbourhoods
 
-@register(f"""{PX}, g AS (SELECT i.img, yy.y, xx.x FROM (SELECT DISTINCT img FROM raster) i JOIN (SELECT DISTINCT img, y FROM raster) yy USING (img) JOIN (SELECT DISTINCT img, x FROM raster) xx USING (img))
-SELECT g.img, g.y, g.x, coalesce(sum(r.v), 0)::BIGINT AS s FROM g LEFT JOIN raster r ON r.img = g.img AND r.y <= g.y AND r.x <= g.x GROUP BY 1, 2, 3""")
+@register(f"""{PX}, f AS (SELECT img, max(y) + 1 AS h, max(x) + 1 AS w FROM raster GROUP BY 1), g AS (SELECT img, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM f, (SELECT unnest(range(0, 33)) AS y), (SELECT unnest(range(0, 33)) AS x) WHERE y <= h AND x <= w)
+SELECT g.img, g.y, g.x, coalesce(sum(r.v), 0)::DOUBLE AS s, coalesce(sum(r.v * r.v), 0)::DOUBLE AS q FROM g LEFT JOIN raster r ON r.img = g.img AND r.y < g.y AND r.x < g.x GROUP BY 1, 2, 3""")
 def integral_image(spark, sf_dir):
     return N.integral(X.raster(spark, sf_dir))
 
@@ -258,28 +271,41 @@ def integral_image(spark, sf_dir):
 _NB = "FROM raster a JOIN raster b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1"
 
 
-@register(f"{PX} SELECT a.img, a.y, a.x, CAST(round(sum(b.v * (CASE WHEN a.y = b.y THEN 2 ELSE 1 END) * (CASE WHEN a.x = b.x THEN 2 ELSE 1 END)) / 16.0, 4) AS DOUBLE) AS v {_NB} GROUP BY 1, 2, 3")
+_SMOOTH = "sum(b.v * (CASE WHEN a.y = b.y THEN 2 ELSE 1 END) * (CASE WHEN a.x = b.x THEN 2 ELSE 1 END)) / 16.0"
+_K16 = [(2 if dy == 0 else 1) * (2 if dx == 0 else 1) / 16.0 for dy, dx in N.NINE]
+
+
+@register(f"{PX} SELECT a.img, a.y, a.x, CASE WHEN {IN3} THEN CAST(round({_SMOOTH}, 4) AS DOUBLE) ELSE 0.0 END AS v {_NB} GROUP BY 1, 2, 3")
 def convolution_3x3(spark, sf_dir):
-    k = [(2 if dy == 0 else 1) * (2 if dx == 0 else 1) / 16.0 for dy, dx in N.NINE]
-    return N.correlate(X.raster(spark, sf_dir), N.NINE, k).select("img", "y", "x", F.round("s", 4).alias("v"))
+    return N.correlate(X.raster(spark, sf_dir), N.NINE, _K16, SIZE).select("img", "y", "x", F.round("s", 4).alias("v"))
+
 
+@register(f"{PX} SELECT a.img, a.y, a.x, CASE WHEN {IN3} THEN CAST(round({_SMOOTH}, 4) AS DOUBLE) ELSE any_value(a.v)::DOUBLE END AS v {_NB} GROUP BY 1, 2, 3")
+def convolution_replicated(spark, sf_dir):
+    return N.correlate(X.raster(spark, sf_dir), N.NINE, _K16, SIZE, border="replicate").select("img", "y", "x", F.round("s", 4).alias("v"))
 
-@register(f"""{PX}, h AS (SELECT a.img, a.y, a.x, least(sum((b.v * (CASE WHEN a.x = b.x THEN 32767 ELSE 16383 END)) >> 16), 255) AS v FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3)
-SELECT a.img, a.y, a.x, CAST(least(sum((b.v * (CASE WHEN a.y = b.y THEN 32767 ELSE 16383 END))::BIGINT >> 16), 255) AS INT) AS v FROM h a JOIN h b ON a.img = b.img AND a.x = b.x AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3""")
+
+@register(f"{PX} SELECT a.img, a.y, a.x, CAST(round({_SMOOTH}, 4) AS DOUBLE) AS v {_NB} WHERE {IN3} GROUP BY 1, 2, 3")
+def convolution_inside(spark, sf_dir):
+    return N.correlate(X.raster(spark, sf_dir), N.NINE, _K16, SIZE, border="ignore").select("img", "y", "x", F.round("s", 4).alias("v"))
+
+
+@register(f"""{PX}, h AS (SELECT a.img, a.y, a.x, CASE WHEN a.x BETWEEN 1 AND 30 THEN least(sum((b.v * (CASE WHEN a.x = b.x THEN 32767 ELSE 16383 END)) >> 16), 255) ELSE 0 END AS v FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3)
+SELECT a.img, a.y, a.x, CAST(CASE WHEN a.y BETWEEN 1 AND 30 THEN least(sum((b.v * (CASE WHEN a.y = b.y THEN 32767 ELSE 16383 END))::BIGINT >> 16), 255) ELSE 0 END AS INT) AS v FROM h a JOIN h b ON a.img = b.img AND a.x = b.x AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3""")
 def convolution_fixed_point(spark, sf_dir):
     kernel = [16383, 32767, 16383]
-    return N.correlate_fixed(N.correlate_fixed(X.raster(spark, sf_dir), kernel, False), kernel, True)
+    return N.correlate_fixed(N.correlate_fixed(X.raster(spark, sf_dir), kernel, False, SIZE), kernel, True, SIZE)
 
 
 def _edge_sql(a: tuple[int, int, int]) -> str:
     w = lambda d: f"(CASE WHEN {d} = 0 THEN {a[1]} ELSE {a[0]} END)"
-    return f"""{PX}, g AS (SELECT a.img, a.y, a.x, abs(sum(b.v * (b.x - a.x) * {w('b.y - a.y')})) + abs(sum(b.v * (b.y - a.y) * {w('b.x - a.x')})) AS g {_NB} GROUP BY 1, 2, 3)
-SELECT img, y, x, CAST(floor(g * 255.0::DOUBLE / max(g) OVER (PARTITION BY img)) AS INT) AS v FROM g"""
+    return f"""{PX}, g AS (SELECT a.img, a.y, a.x, CASE WHEN {IN3} THEN abs(sum(b.v * (b.x - a.x) * {w('b.y - a.y')})) + abs(sum(b.v * (b.y - a.y) * {w('b.x - a.x')})) ELSE 0 END AS g {_NB} GROUP BY 1, 2, 3)
+SELECT img, y, x, CAST(floor(g * 255.0::DOUBLE / greatest(max(g) OVER (PARTITION BY img), 1)) AS INT) AS v FROM g"""
 
 
 def _edges(name: str) -> Query:
     def f(spark, sf_dir):
-        return N.edges(X.raster(spark, sf_dir), name)
+        return N.edges(X.raster(spark, sf_dir), name, SIZE)
 
     f.__name__ = f"edges_{name}"
     return register(_edge_sql(N.KERNELS[name]))(f)
@@ -289,10 +315,19 @@ for _name in N.KERNELS:
     _edges(_name)
 
 
-@register(f"{PX} SELECT a.img, a.y, a.x, sum(b.v * (b.x - a.x))::BIGINT AS gx, round(sqrt(pow(sum(b.v * (b.x - a.x)), 2)), 6) AS magnitude FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3")
-def gradient_x(spark, sf_dir):
-    g = N.correlate(X.raster(spark, sf_dir), [(0, -1), (0, 1)], [-1, 1])
-    return g.select("img", "y", "x", F.col("s").alias("gx"), F.round(F.sqrt((F.col("s") * F.col("s")).cast("double")), 6).alias("magnitude"))
+_DIFF_SQL = f"""{PX}, g AS (SELECT a.img, a.y, a.x, CASE WHEN a.x BETWEEN 1 AND 30 THEN sum(CASE WHEN b.y = a.y THEN b.v * (b.x - a.x) ELSE 0 END) ELSE 0 END::BIGINT AS gx,
+  CASE WHEN a.y BETWEEN 1 AND 30 THEN sum(CASE WHEN b.x = a.x THEN b.v * (b.y - a.y) ELSE 0 END) ELSE 0 END::BIGINT AS gy FROM raster a JOIN raster b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3)"""
+
+
+@register(f"{_DIFF_SQL} SELECT * FROM g")
+def gradient_xy(spark, sf_dir):
+    return N.differences(X.raster(spark, sf_dir), SIZE)
+
+
+@register(f"{_DIFF_SQL} SELECT img, y, x, round(sqrt((gx * gx + gy * gy)::DOUBLE), 6) AS magnitude, round(fmod(degrees(atan2(gy::DOUBLE, gx::DOUBLE)) + 360.0, 360.0), 6) + 0.0 AS direction FROM g")
+def gradient_polar(spark, sf_dir):
+    g = N.polar(N.differences(X.raster(spark, sf_dir), SIZE))
+    return g.select("img", "y", "x", F.round("magnitude", 6).alias("magnitude"), r6(F.col("direction")).alias("direction"))
 
 
 def _morph_sql(op: str) -> str:
@@ -337,10 +372,10 @@ def fast_corners(spark, sf_dir):
     return N.fast_corners(X.raster(spark, sf_dir), 20, 9)
 
 
-@register(f"""{PX}, g AS (SELECT a.img, a.y, a.x, sum(CASE WHEN b.y = a.y THEN b.v * (b.x - a.x) ELSE 0 END) AS gx, sum(CASE WHEN b.x = a.x THEN b.v * (b.y - a.y) ELSE 0 END) AS gy FROM raster a JOIN raster b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3)
+@register(f"""{_DIFF_SQL}
 SELECT img, y // 8 AS cy, x // 8 AS cx, CAST(least(floor(fmod(degrees(atan2(gy, gx)) + 180.0, 180.0) / 20.0), 8) AS BIGINT) AS bin, round(sum(sqrt(gx * gx + gy * gy)), 4) AS weight FROM g GROUP BY 1, 2, 3, 4""")
 def hog_cells(spark, sf_dir):
-    h = N.hog_cells(X.raster(spark, sf_dir))
+    h = N.hog_cells(X.raster(spark, sf_dir), SIZE)
     return h.select("img", F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx"), F.col("bin").cast("long").alias("bin"), F.round("weight", 4).alias("weight"))
 
 
@@ -371,13 +406,13 @@ for _name in ("gradient", "tophat", "blackhat"):
 _BELL = ", ".join(f"({i - 2}, {w!r}::DOUBLE)" for i, w in enumerate(N.gaussian_kernel(5, 2.0)))
 
 
-@register(f"""{PX}, bell(d, w) AS (VALUES {_BELL}), h AS (SELECT a.img, a.y, a.x, sum(b.v * w) AS s FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y JOIN bell ON b.x = a.x + d GROUP BY 1, 2, 3)
-SELECT a.img, a.y, a.x, round(sum(b.s * w), 4) AS v FROM h a JOIN h b ON a.img = b.img AND a.x = b.x JOIN bell ON b.y = a.y + d GROUP BY 1, 2, 3""")
+@register(f"""{PX}, bell(d, w) AS (VALUES {_BELL}), h AS (SELECT a.img, a.y, a.x, CASE WHEN a.x BETWEEN 2 AND 29 THEN sum(b.v * w) ELSE 0.0 END AS s FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y JOIN bell ON b.x = a.x + d GROUP BY 1, 2, 3)
+SELECT a.img, a.y, a.x, round(CASE WHEN a.y BETWEEN 2 AND 29 THEN sum(b.s * w) ELSE 0.0 END, 4) AS v FROM h a JOIN h b ON a.img = b.img AND a.x = b.x JOIN bell ON b.y = a.y + d GROUP BY 1, 2, 3""")
 def gaussian_blur(spark, sf_dir):
-    return N.separable(X.raster(spark, sf_dir), N.gaussian_kernel(5, 2.0)).select("img", "y", "x", F.round("s", 4).alias("v"))
+    return N.separable(X.raster(spark, sf_dir), N.gaussian_kernel(5, 2.0), SIZE).select("img", "y", "x", F.round("s", 4).alias("v"))
 
 
-_THIN = f"""g AS (SELECT a.img, a.y, a.x, sum(b.v * (b.x - a.x) * (CASE WHEN b.y = a.y THEN 2 ELSE 1 END)) AS gx, sum(b.v * (b.y - a.y) * (CASE WHEN b.x = a.x THEN 2 ELSE 1 END)) AS gy {_NB} GROUP BY 1, 2, 3),
+_THIN = f"""g AS (SELECT a.img, a.y, a.x, CASE WHEN {IN3} THEN sum(b.v * (b.x - a.x) * (CASE WHEN b.y = a.y THEN 2 ELSE 1 END)) ELSE 0 END AS gx, CASE WHEN {IN3} THEN sum(b.v * (b.y - a.y) * (CASE WHEN b.x = a.x THEN 2 ELSE 1 END)) ELSE 0 END AS gy {_NB} GROUP BY 1, 2, 3),
 m AS (SELECT *, abs(gx) + abs(gy) AS v, CASE WHEN abs(gy) < abs(gx) * 0.41421356237309503::DOUBLE THEN 0 WHEN abs(gy) > abs(gx) * 2.414213562373095::DOUBLE THEN 1 WHEN (gx > 0) = (gy > 0) THEN 2 ELSE 3 END AS way FROM g),
 p AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, a.img * 10000 + a.y * 100 + a.x AS id FROM m a LEFT JOIN m b ON a.img = b.img AND ((a.way = 0 AND b.y = a.y AND abs(b.x - a.x) = 1) OR (a.way = 1 AND b.x = a.x AND abs(b.y - a.y) = 1)
   OR (a.way = 2 AND abs(b.x - a.x) = 1 AND b.y - a.y = b.x - a.x) OR (a.way = 3 AND abs(b.x - a.x) = 1 AND b.y - a.y = a.x - b.x)) WHERE a.v > 300 GROUP BY 1, 2, 3 HAVING coalesce(max(b.v), 0) <= any_value(a.v))"""
@@ -386,7 +421,7 @@ p AS (SELECT a.img, a.y, a.x, any_value(a.v) AS v, a.img * 10000 + a.y * 100 + a
 @register(f"{PX.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_THIN}" + """, e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
 reach AS (SELECT id FROM p WHERE v > 600 UNION SELECT e.b FROM reach r JOIN e ON r.id = e.a) SELECT img, y, x FROM p JOIN reach USING (id)""")
 def canny_edges(spark, sf_dir):
-    return N.canny(X.raster(spark, sf_dir), 300, 600)
+    return N.canny(X.raster(spark, sf_dir), 300, 600, SIZE)
 
 
 _CUBIC = "(CASE k WHEN 0 THEN (-f * f * f + 2 * f * f - f) / 2 WHEN 1 THEN (3 * f * f * f - 5 * f * f + 2) / 2 WHEN 2 THEN (-3 * f * f * f + 4 * f * f + f) / 2 ELSE (f * f * f - f * f) / 2 END)"
