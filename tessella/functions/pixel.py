@@ -37,6 +37,11 @@ def degrees_of(y: Column, x: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
 
 
+def saturated(v: Column, low: int, high: int) -> Column:
+    """A number cut to whole numbers of a range, towards zero."""
+    return F.least(F.greatest(F.when(v >= 0, F.floor(v)).otherwise(F.ceil(v)), F.lit(low)), F.lit(high))
+
+
 # fixed values: integer colour transforms
 def rgb_to_yuv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     y = F.shiftright(33 * r + 65 * g + 13 * b, 7) + 16
@@ -67,6 +72,7 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
         step = F.lit(full).cast("float") * F.try_divide(F.lit(1.0), by.cast("double")).cast("float")
         return round_away(F.coalesce(a.cast("float") * step, F.lit(0.0).cast("float")).cast("double")).cast("int")
 
+    # fixed values: a sixth of a turn is 43, a third 85, two thirds 171
     h = F.when(top == r, scaled(g - b, 43.0, span)).when(top == g, 85 + scaled(b - r, 43.0, span)).otherwise(171 + scaled(r - g, 43.0, span))
     return F.pmod(h, F.lit(256)), scaled(span, 255.0, top), top
 
@@ -82,10 +88,20 @@ def from_565(p: Column) -> tuple[Column, Column, Column]:
     return five(r), F.shiftleft(g, 2).bitwiseOR(F.shiftright(g, 4)), five(b)
 
 
+def cartesian(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Homogeneous coordinates as a point; at z = 0 infinite, as division of doubles has it (0 / 0: not a number)."""
+
+    def over(a: Column) -> Column:
+        a, d = a.cast("double"), z.cast("double")
+        far = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+        return F.when(d == 0, far).otherwise(F.try_divide(a, d))
+
+    return over(x), over(y)
+
+
 def perspective(m: list[float], x: Column, y: Column) -> tuple[Column, Column]:
-    """A 3x3 matrix, row by row, applied to a point; null at infinity."""
-    z = m[6] * x + m[7] * y + m[8]
-    return F.try_divide(m[0] * x + m[1] * y + m[2], z), F.try_divide(m[3] * x + m[4] * y + m[5], z)
+    """A 3x3 matrix, row by row, applied to a point; infinite where the third coordinate is 0."""
+    return cartesian(m[0] * x + m[1] * y + m[2], m[3] * x + m[4] * y + m[5], m[6] * x + m[7] * y + m[8])
 
 
 def line_distance(a: float, b: float, c: float, x: Column, y: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +61,14 @@ def boxes(px: DataFrame, by: list[str]) -> DataFrame:
 
 
 def hartley(points: DataFrame, by: str) -> DataFrame:
-    """Centroid, and the scale that makes the mean distance to it the root of 2."""
-    own = Window.partitionBy(by)
-    centred = points.withColumn("tx", F.avg("x").over(own)).withColumn("ty", F.avg("y").over(own))
-    far = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
-    return centred.groupBy(by).agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.try_divide(F.sqrt(F.lit(2.0)), F.avg(far)).alias("s"))
+    """Centroid, and the scale that makes the mean distance to it the root of 2.
+
+    Two aggregations that combine on the map side; a set's centroid is one row
+    that its points are joined with.
+    """
+    centre = points.groupBy(by).agg(F.avg("x").alias("tx"), F.avg("y").alias("ty"))
+    far = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    return points.join(centre, by).groupBy(by).agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.try_divide(F.sqrt(F.lit(2.0)), F.avg(far)).alias("s"))
 
 
 def variance_about(x: Column, mean: float) -> Column:
@@ -70,19 +77,58 @@ def variance_about(x: Column, mean: float) -> Column:
 
 
 def covariance(cells: DataFrame, dims: int) -> DataFrame:
-    """Sample covariance of vectors (e): one pass of sums, then one cell for each pair of dimensions."""
-    pos = cells.select("vec_id", F.posexplode("e").alias("i", "a"))
-    n = pos.groupBy("i").agg(F.sum("a").alias("s"), F.count("a").alias("n"))
-    pairs = cells.select(F.col("e"), F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("i")).select("e", "i", F.explode(F.sequence(F.col("i"), F.lit(dims - 1))).alias("j"))
-    prod = pairs.groupBy("i", "j").agg(F.sum(F.get("e", F.col("i")) * F.get("e", F.col("j"))).alias("p"))
-    a, b = n.select("i", F.col("s").alias("si"), "n"), n.select(F.col("i").alias("j"), F.col("s").alias("sj"))
-    return prod.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("i", "j", ((F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+    """Sample covariance of vectors (e) of ``dims`` components: cells (i, j, cov) with i <= j.
+
+    Each task sums the products of its vectors, less one vector that is taken
+    from all of them so that large means don't cancel: one row for each pair of
+    dimensions leaves a task, whatever it has read.
+    """
+    some = cells.select("e").first()
+    origin = np.array(some.e if some else [0.0] * dims, float)
+
+    def work(batches):
+        total, sums, n = np.zeros((dims, dims)), np.zeros(dims), 0
+        for batch in batches:
+            m = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dims) - origin
+            total += m.T @ m
+            sums += m.sum(axis=0)
+            n += len(m)
+        if n:
+            i, j = np.triu_indices(dims)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j]), pa.array(sums[i]), pa.array(sums[j]), pa.array(np.full(len(i), n))], ["i", "j", "p", "si", "sj", "n"])
+
+    summed = cells.select("e").mapInArrow(work, "i int, j int, p double, si double, sj double, n long").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("p", "si", "sj", "n")])
+    return summed.select("i", "j", F.try_divide(F.col("p") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1).alias("cov"))
+
+
+def transposed(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Matrices of cells (by, i, j, v) with rows and columns changed."""
+    keys = [c for c in cells.columns if c not in ("i", "j", "v")] if not by else by
+    return cells.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def gram(a: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Columns against columns: the transpose times the matrix."""
+    return matrix_product(transposed(a, by), a, by)
+
+
+def is_symmetric(cells: DataFrame, by: str, eps: float = 0.0) -> DataFrame:
+    """For each matrix (by, i, j, v), whether it equals its transpose; a cell without a counterpart counts as unequal."""
+    other = cells.select(by, F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("w"))
+    return cells.join(other, [by, "i", "j"], "left").groupBy(by).agg(F.bool_and(F.coalesce(F.abs(F.col("v") - F.col("w")) <= eps, F.lit(False))).alias("symmetric"))
+
+
+def off_diagonal(cells: DataFrame, by: str) -> DataFrame:
+    """Place and size of the greatest cell off the diagonal, by absolute value; ties to the first row, then column."""
+    best = F.max(F.struct(F.abs("v").alias("most"), (-F.col("i")).alias("i"), (-F.col("j")).alias("j")))
+    return cells.where("i <> j").groupBy(by).agg(best.alias("b")).select(by, (-F.col("b.i")).alias("i"), (-F.col("b.j")).alias("j"), F.col("b.most").alias("most"))
 
 
-def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of matrices held as cells (i, j, v)."""
-    right = b.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
-    return a.select(F.col("i").alias("r"), F.col("j").alias("k"), "v").join(right, "k").groupBy(F.col("r").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+def matrix_product(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Products of matrices held as cells (by, i, j, v); a missing cell is 0."""
+    right = b.select(*by, F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
+    left = a.select(*by, F.col("i").alias("r"), F.col("j").alias("k"), "v")
+    return left.join(right, [*by, "k"]).groupBy(*by, F.col("r").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def fit_line(points: DataFrame, by: str) -> DataFrame:
@@ -93,12 +139,13 @@ def fit_line(points: DataFrame, by: str) -> DataFrame:
 
 def fit_parabola(points: DataFrame, by: str) -> DataFrame:
     """Least squares for y = a x^2 + b x + c, from sums about the mean of x; null where x takes fewer than three values."""
-    p = points.withColumn("u", F.col("x") - F.avg("x").over(Window.partitionBy(by))).withColumn("x0", F.avg("x").over(Window.partitionBy(by)))
+    centre = points.groupBy(by).agg(F.avg("x").alias("x0"))
+    p = points.join(centre, by).withColumn("u", F.col("x") - F.col("x0"))
     u, y = F.col("u"), F.col("y")
-    s = p.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.first("x0").alias("x0"), F.sum(u**2).alias("s2"), F.sum(u**3).alias("s3"), F.sum(u**4).alias("s4"), F.sum(y).alias("t0"), F.sum(u * y).alias("t1"), F.sum(u * u * y).alias("t2"))
+    s = p.groupBy(by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.first("x0").alias("x0"), F.countDistinct("x").alias("k"), F.sum(u**2).alias("s2"), F.sum(u**3).alias("s3"), F.sum(u**4).alias("s4"), F.sum(y).alias("t0"), F.sum(u * y).alias("t1"), F.sum(u * u * y).alias("t2"))
     c = F.col
     det = c("n") * c("s2") * c("s4") - c("s2") ** 3 - c("n") * c("s3") ** 2
-    a = F.try_divide(c("n") * c("s2") * c("t2") - c("n") * c("s3") * c("t1") - c("s2") ** 2 * c("t0"), det)
-    s = s.withColumn("a", a).withColumn("bu", F.try_divide(c("t1") - a * c("s3"), c("s2")))
+    a = F.when(c("k") >= 3, F.try_divide(c("n") * c("s2") * c("t2") - c("n") * c("s3") * c("t1") - c("s2") ** 2 * c("t0"), det))
+    s = s.withColumn("a", a).withColumn("bu", F.try_divide(c("t1") - c("a") * c("s3"), c("s2")))
     s = s.withColumn("cu", (c("t0") - c("a") * c("s2")) / c("n"))
     return s.select(by, "a", (c("bu") - 2 * c("a") * c("x0")).alias("b"), (c("cu") - c("bu") * c("x0") + c("a") * c("x0") ** 2).alias("c"))

@@ -2,37 +2,99 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import pixel
 
-#: Queries that are sent to all executors together.
-QUERY_BLOCK = 1024
+#: Queries of a wave and rows of a block that are compared in one NumPy step.
+WAVE, BLOCK = 8192, 1024
+#: Cells of differences held at once.
+_CELLS = 1 << 22
 
-#: For ``hamming``, e is a long of bits.
-METRICS = {"hamming": lambda a, b: F.bit_count(a.bitwiseXOR(b)), "euclidean": pixel.squared_l2, "manhattan": pixel.manhattan, "angular": lambda a, b: 2.0 - 2.0 * F.try_divide(pixel.dot(a, b), F.sqrt(pixel.dot(a, a) * pixel.dot(b, b)))}
 
+def _l2(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return ((q[:, None, :] - t[None, :, :]) ** 2).sum(axis=2)
 
-def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+
+def _l1(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.abs(q[:, None, :] - t[None, :, :]).sum(axis=2)
+
+
+def _angle(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2.0 - 2.0 * (q @ t.T) / np.sqrt((q * q).sum(axis=1)[:, None] * (t * t).sum(axis=1)[None, :])
+
+
+def _hamming(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(q[:, None, :] ^ t[None, :, :]).sum(axis=2, dtype=np.int64)
+
+
+#: Distances of all queries of a block from all its rows. For ``hamming``, e is a long of bits or bytes.
+METRICS = {"hamming": _hamming, "euclidean": _l2, "manhattan": _l1, "angular": _angle}
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, as a matrix."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint8).reshape(len(column), 8)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        raw = column.to_pylist()
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def nearest(train: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", *, wave: int = WAVE, own: bool = False) -> DataFrame:
     """The ``k`` nearest rows of ``train`` (vec_id, e) for each query, ties to the smaller id.
 
-    Queries are taken ``QUERY_BLOCK`` at a time: a block has a fixed size, so it
-    can be sent along, and the table is read once for each. Ranks are cut in
-    each task before the shuffle.
+    All vectors have one length; rows with a null take no part. Rows with a
+    query's own id are left out unless ``own`` is set. Queries go out in waves
+    of bounded size; a task compares a wave with its rows block by block and
+    puts out ``k`` rows for each query, so no pair is ever a row.
     """
-    distance = METRICS[metric]
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    distance, spark = METRICS[metric], train.sparkSession
+    asked = queries.where("vec_id IS NOT NULL AND e IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "e")
+    rows = train.where("vec_id IS NOT NULL AND e IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "e")
+    waves = max(1, -(-asked.count() // wave))
+    whole = metric == "hamming"
     out = None
-    for b in range(blocks):
-        q = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        q = q.select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"))
-        pairs = train.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(distance(F.col("qe"), F.col("e")), 9).alias("distance"))
-        best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-        got = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = got if out is None else out.union(got)
-    return out
+    for w in range(waves):
+        mine = asked.where(F.pmod(F.xxhash64("vec_id", "e"), F.lit(waves)) == w) if waves > 1 else asked
+        got = mine.toArrow()
+        if not len(got):
+            continue
+        sent = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), _rows(got.column("e").combine_chunks())))
+
+        def work(batches, sent=sent):
+            ids, q = sent.value
+            n, step = len(ids), max(1, _CELLS // max(1, BLOCK * q.shape[1]))
+            best_d, best_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+            for batch in batches:
+                for lo in range(0, len(batch), BLOCK):
+                    part = batch.slice(lo, BLOCK)
+                    at, t = part.column(0).to_numpy(), _rows(part.column(1))
+                    for first in range(0, n, step):
+                        some = slice(first, first + step)
+                        d = distance(q[some], t).astype(np.float64)
+                        d = d if whole else np.round(d, 9)
+                        d[np.isnan(d)] = np.inf
+                        if not own:
+                            d[ids[some, None] == at[None, :]] = np.inf
+                        every_d = np.concatenate([best_d[some], d], axis=1)
+                        every_i = np.concatenate([best_i[some], np.broadcast_to(at, d.shape)], axis=1)
+                        order = np.lexsort((every_i, every_d), axis=1)[:, :k]
+                        best_d[some], best_i[some] = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
+            keep = np.isfinite(best_d)
+            which = np.nonzero(keep)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(ids[which]), pa.array(best_i[keep]), pa.array(best_d[keep])], ["n", "query_id", "vec_id", "distance"])
+
+        found = rows.mapInArrow(work, "n long, query_id long, vec_id long, distance double")
+        best = Window.partitionBy("n").orderBy("distance", "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", F.col("distance").cast("int" if whole else "double").alias("distance"), "rank")
+        out = ranked if out is None else out.union(ranked)
+    return out if out is not None else spark.createDataFrame([], f"query_id long, vec_id long, distance {'int' if whole else 'double'}, rank int")
 
 
 def ratio_test(matches: DataFrame, ratio: float) -> DataFrame:
@@ -45,6 +107,16 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hamming_bytes(a: Column, b: Column, size: int) -> Column:
+    """Bits in which two byte strings of ``size`` differ."""
+    words = range(0, size, 8)
+    long = lambda c, at: F.conv(F.rpad(F.hex(F.substring(c, at + 1, 8)), 16, "0"), 16, -10).cast("long")
+    total = F.lit(0)
+    for at in words:
+        total = total + F.bit_count(long(a, at).bitwiseXOR(long(b, at)))
+    return total
+
+
 def best_with_ties(df: DataFrame, n: int, by: str, value: str) -> DataFrame:
     """The ``n`` greatest of each group, and all that equal the n-th."""
     return df.withColumn("__r", F.rank().over(Window.partitionBy(by).orderBy(F.desc(value)))).where(F.col("__r") <= n).drop("__r")
@@ -72,10 +144,11 @@ def sign_bits(e: Column, dims: int = 64) -> Column:
     return out
 
 
-def cross_check(matches: DataFrame) -> DataFrame:
-    """Pairs (query_id, vec_id, distance) that are each other's best match."""
+def cross_check(matches: DataFrame, train: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
+    """Best matches (query_id, vec_id, distance) whose row's own best match among the queries is that query."""
     best = matches.where("rank = 1").select("query_id", "vec_id", "distance")
-    back = best.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("query_id"))
+    hit = train.join(best.select("vec_id").distinct(), "vec_id", "left_semi")
+    back = nearest(queries, hit, 1, metric).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("query_id"))
     return best.join(back, ["query_id", "vec_id"], "left_semi").select("query_id", "vec_id", "distance")
 
 

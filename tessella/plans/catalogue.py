@@ -242,11 +242,35 @@ def covariance_matrix(spark, sf_dir):
     return c.select("i", "j", (F.round("cov", 5) + F.lit(0.0)).alias("cov"))
 
 
-@register(f"{PX}, a AS (SELECT y AS i, x AS j, v FROM raster WHERE img = 1), b AS (SELECT y AS i, x AS j, v FROM raster WHERE img = 2) SELECT a.i, b.j, sum(a.v * b.v)::BIGINT AS v FROM a JOIN b ON a.j = b.i GROUP BY 1, 2")
+@register(f"{PX} SELECT a.img, a.y AS i, b.x AS j, sum(a.v * b.v)::BIGINT AS v FROM raster a JOIN raster b ON a.img = b.img AND a.x = b.y GROUP BY 1, 2, 3")
 def matrix_product(spark, sf_dir):
-    px = X.raster(spark, sf_dir)
-    cells = lambda k: px.where(F.col("img") == k).select(F.col("y").alias("i"), F.col("x").alias("j"), "v")
-    return A.matrix_product(cells(1), cells(2))
+    cells = X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), "v")
+    return A.matrix_product(cells, cells, ["img"])
+
+
+@register(f"{PX} SELECT a.img, a.x AS i, b.x AS j, sum(a.v * b.v)::BIGINT AS v FROM raster a JOIN raster b ON a.img = b.img AND a.y = b.y GROUP BY 1, 2, 3")
+def matrix_gram(spark, sf_dir):
+    return A.gram(X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), "v"), ["img"])
+
+
+@register(f"{PX} SELECT a.img, a.y AS i, b.y AS j, sum(a.v * b.v)::BIGINT AS v FROM raster a JOIN raster b ON a.img = b.img AND a.x = b.x GROUP BY 1, 2, 3")
+def matrix_times_transpose(spark, sf_dir):
+    cells = X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), "v")
+    return A.matrix_product(cells, A.transposed(cells), ["img"])
+
+
+@register(f"""{PX} SELECT img, CAST(y AS INT) AS i, CAST(x AS INT) AS j, v AS most FROM raster WHERE y <> x QUALIFY row_number() OVER (PARTITION BY img ORDER BY v DESC, y, x) = 1""")
+def greatest_off_diagonal(spark, sf_dir):
+    return A.off_diagonal(X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), "v"), "img")
+
+
+@register(f"""{PX}, s AS (SELECT img, y, x, v FROM raster UNION ALL SELECT 100 + img, x, y, v FROM raster UNION ALL SELECT 100 + img, y, x, v FROM raster), c AS (SELECT img, y, x, sum(v)::BIGINT AS v FROM s GROUP BY 1, 2, 3)
+SELECT a.img, bool_and(coalesce(a.v = b.v, false)) AS symmetric FROM c a LEFT JOIN c b ON a.img = b.img AND a.y = b.x AND a.x = b.y GROUP BY 1""")
+def symmetric_matrices(spark, sf_dir):
+    cells = X.raster(spark, sf_dir).select("img", F.col("y").alias("i"), F.col("x").alias("j"), "v")
+    moved = cells.withColumn("img", F.col("img") + 100)
+    both = moved.unionByName(A.transposed(moved, ["img"])).groupBy("img", "i", "j").agg(F.sum("v").alias("v"))
+    return A.is_symmetric(cells.unionByName(both), "img")
 
 
 @register(f"""{PT} SELECT set_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 6) + 0.0 AS angle FROM pt GROUP BY 1""")
@@ -255,9 +279,13 @@ def fit_line(spark, sf_dir):
     return f.select("set_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), r6(F.col("angle")).alias("angle"))
 
 
-@register()
+@register(f"""{PT}, c AS (SELECT set_id, avg(x) AS x0 FROM pt GROUP BY 1), s AS (SELECT set_id, any_value(x0) AS x0, count(*)::DOUBLE AS n, count(DISTINCT x) AS k, sum(pow(x - x0, 2)) AS s2, sum(pow(x - x0, 3)) AS s3, sum(pow(x - x0, 4)) AS s4,
+  sum(y) AS t0, sum((x - x0) * y) AS t1, sum(pow(x - x0, 2) * y) AS t2 FROM pt JOIN c USING (set_id) GROUP BY 1),
+a AS (SELECT *, CASE WHEN k >= 3 THEN (n * s2 * t2 - n * s3 * t1 - s2 * s2 * t0) / nullif(n * s2 * s4 - s2 * s2 * s2 - n * s3 * s3, 0) END AS a FROM s), b AS (SELECT *, (t1 - a * s3) / nullif(s2, 0) AS bu, (t0 - a * s2) / n AS cu FROM a)
+SELECT set_id, round(a, 4) + 0.0 AS a, round(bu - 2 * a * x0, 3) + 0.0 AS b, round(cu - bu * x0 + a * x0 * x0, 2) + 0.0 AS c FROM b""")
 def fit_parabola(spark, sf_dir):
-    return A.fit_parabola(X.points(spark, sf_dir), "set_id")
+    f = A.fit_parabola(X.points(spark, sf_dir), "set_id")
+    return f.select("set_id", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("a", 4), ("b", 3), ("c", 2))])
 
 
 # neighbourhoods
@@ -546,10 +574,13 @@ def hamming_matches(spark, sf_dir):
     return M.nearest(b, b.where("vec_id % 20 = 0"), 2, "hamming")
 
 
-@register(_hamming_sql("q.vec_id % 20 = 0 AND t.vec_id % 20 = 0", 1) + " SELECT a.query_id, a.vec_id, a.distance FROM near a JOIN near b ON a.vec_id = b.query_id AND b.vec_id = a.query_id")
+@register(_hamming_sql("q.vec_id % 20 = 0", 1) + f""", back AS (SELECT b.vec_id, q.vec_id AS query_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_HAM}, q.vec_id) AS n
+  FROM (SELECT DISTINCT vec_id FROM near) b JOIN bits t ON t.vec_id = b.vec_id JOIN bits q ON q.vec_id % 20 = 0 AND q.vec_id <> t.vec_id)
+SELECT a.query_id, a.vec_id, a.distance FROM near a JOIN back b ON b.n = 1 AND a.vec_id = b.vec_id AND a.query_id = b.query_id""")
 def cross_checked_matches(spark, sf_dir):
-    b = _bits(spark, sf_dir).where("vec_id % 20 = 0")
-    return M.cross_check(M.nearest(b, b, 1, "hamming"))
+    b = _bits(spark, sf_dir)
+    queries = b.where("vec_id % 20 = 0")
+    return M.cross_check(M.nearest(b, queries, 1, "hamming"), b, queries, "hamming")
 
 
 # vectors, matrices and cameras
@@ -603,14 +634,19 @@ def homography_recovered(spark, sf_dir):
     return h.select("set_id", F.posexplode("h").alias("i", "v")).select("set_id", "i", r6(F.round("v", 2)).alias("v"))
 
 
-@register(f"""{PX}, m AS (SELECT img, max(CASE WHEN y = 0 AND x = 0 THEN v END) AS a, max(CASE WHEN y = 0 AND x = 1 THEN v END) AS b, max(CASE WHEN y = 1 AND x = 0 THEN v END) AS c, max(CASE WHEN y = 1 AND x = 1 THEN v END) AS d FROM raster GROUP BY 1)
-SELECT img, round(d / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r0, round(-b / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r1, round(-c / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r3, round(a / nullif(a * d - b * c, 0)::DOUBLE, 6) + 0.0 AS r4 FROM m""")
+_NINE_SQL = ", ".join(f"max(CASE WHEN y % 3 = {k // 3} AND x % 3 = {k % 3} THEN v END)::DOUBLE AS m{k}" for k in range(9))
+_COFACTORS = ["m4*m8-m5*m7", "m2*m7-m1*m8", "m1*m5-m2*m4", "m5*m6-m3*m8", "m0*m8-m2*m6", "m2*m3-m0*m5", "m3*m7-m4*m6", "m1*m6-m0*m7", "m0*m4-m1*m3"]
+
+
+@register(f"""{PX}, m AS (SELECT img, y // 3 AS block_y, x // 3 AS block_x, {_NINE_SQL} FROM raster GROUP BY 1, 2, 3 HAVING count(*) = 9), d AS (SELECT *, m0 * (m4*m8-m5*m7) - m1 * (m3*m8-m5*m6) + m2 * (m3*m7-m4*m6) AS det FROM m)
+SELECT img, CAST(block_y AS INT) AS block_y, CAST(block_x AS INT) AS block_x, {", ".join(f"round(({c}) / nullif(det, 0), 6) + 0.0 AS r{k}" for k, c in enumerate(_COFACTORS))} FROM d""")
 def matrix_inverse(spark, sf_dir):
-    cell = lambda y, x: F.max(F.when((F.col("y") == y) & (F.col("x") == x), F.col("v").cast("double")))
-    m = X.raster(spark, sf_dir).groupBy("img").agg(cell(0, 0).alias("a"), cell(0, 1).alias("b"), cell(1, 0).alias("c"), cell(1, 1).alias("d"))
-    z = F.lit(0.0)
-    inv = C.inverse_3x3([F.col("a"), F.col("b"), z, F.col("c"), F.col("d"), z, z, z, F.lit(1.0)])
-    return m.select("img", *[r6(inv[k]).alias(f"r{k}") for k in (0, 1, 3, 4)])
+    """Every whole 3x3 block of every image."""
+    cell = lambda k: F.max(F.when((F.col("y") % 3 == k // 3) & (F.col("x") % 3 == k % 3), F.col("v").cast("double"))).alias(f"m{k}")
+    block = [F.floor(F.col(c) / 3).cast("int").alias(f"block_{c}") for c in "yx"]
+    m = X.raster(spark, sf_dir).groupBy("img", *block).agg(F.count(F.lit(1)).alias("n"), *[cell(k) for k in range(9)]).where("n = 9")
+    inv = C.inverse_3x3([F.col(f"m{k}") for k in range(9)])
+    return m.select("img", "block_y", "block_x", *[r6(inv[k]).alias(f"r{k}") for k in range(9)])
 
 
 @register()
