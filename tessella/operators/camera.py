@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import pixel
-from tessella.operators import aggregates
+from tessella.operators import aggregates, robust
 
 
 def rotation_matrix(x: Column, y: Column, z: Column) -> list[Column]:
@@ -106,6 +106,18 @@ def fit_line_robust(points: DataFrame, by: str, within: float, trials: int = 32)
     return aggregates.fit_line(kept, by).join(kept.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
 
 
+def homography_robust(pairs: DataFrame, by: str, within: float, trials: int = robust.TRIALS) -> DataFrame:
+    """``homography`` of the pairs that agree with the best of some maps through four pairs; with ``n``, how many agree."""
+    agree = robust.consensus(pairs, by, ["x", "y", "u", "v"], 4, robust.homography_through, robust.homography_residual, within, trials=trials)
+    return homography(agree.drop("model"), by).join(agree.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
+
+
+def fit_parabola_robust(points: DataFrame, by: str, within: float, trials: int = robust.TRIALS) -> DataFrame:
+    """Least squares over the points that agree with the best of some parabolas through three points; with ``n``, how many agree."""
+    agree = robust.consensus(points, by, ["x", "y"], 3, robust.parabola_through, robust.parabola_residual, within, trials=trials)
+    return aggregates.fit_parabola(agree.drop("model"), by).join(agree.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
+
+
 def inverse_3x3(m: Sequence[Column]) -> list[Column]:
     """Inverse of a 3x3 matrix of columns, row by row; null where it is singular."""
     minor = lambda i, j, k, l: m[i] * m[l] - m[j] * m[k]  # noqa: E731, E741
