@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,6 +95,12 @@ def forget(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are done: it does so when nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, what: str, *order: str | Column) -> tuple[DataFrame, list[int]]:
     """The rows in order, spread over many tasks: a stored table with ``part`` and ``own``, the place in the part.
 

@@ -40,6 +40,8 @@ PAIRS = 1 << 20
 BATCH_ROWS = 50_000
 #: Bits of the filter of shared shingles: 16 MB.
 FILTER_BITS = 1 << 27
+#: Shingles with more rows than this are contracted in rounds before all their pairs are looked at.
+FEW = 8
 #: Rounds in which nearest candidates are linked, at most.
 ROUNDS = 4
 _SHIFT = np.uint64(64 - CELL_BITS)
@@ -217,18 +219,24 @@ def _pairs(similarity: float, nearest: bool):
     return work
 
 
-def candidates(rows: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, *, nearest: bool = False, block_rows: int | None = None) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes of different ``label`` that may be similar, each once: all of them, or each row's nearest.
+def candidates(rows: DataFrame, info: DataFrame, labels: DataFrame, similarity: float, *, nearest: bool = False, block_rows: int | None = None) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes of different ``label`` that may be similar, each once.
 
-    ``rows`` are those of ``shared_rows``, ``sets`` has the sizes and bitmaps,
-    ``labels`` a label for each node that takes part. Shingles whose nodes all
-    have one label are left out before anything wide moves.
+    ``rows`` are those of ``shared_rows``, ``info`` has the sizes and bitmaps,
+    ``labels`` a label for each node that takes part. Of shingles with more
+    than ``FEW`` rows, those whose nodes all have one label are left out before
+    pairs are looked for. With ``nearest`` just such shingles are looked at,
+    and each row puts out its nearest candidate alone.
     """
     block_rows = block_rows or BLOCK_ROWS
     words = [f"b{k}" for k in range(BITMAP)]
-    labelled = rows.join(labels, "node")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    wide = labelled.join(mixed, "key").join(sets.select("node", "size", *words), "node").select("key", "n", "place", "node", "label", "size", *words)
-    dealt = _dealt(wide, nearest, block_rows).select("key", "block", "role", "place", "node", "label", "size", *words)
+    wanted = rows.where(F.col("n") > FEW) if nearest else rows
+    wide = wanted.join(info.join(labels, "node"), "node").select("key", "n", "place", "node", "label", "size", *words)
+    many = rows.where(F.col("n") > FEW).join(labels, "node")
+    mixed = many.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    kept = wide.where(F.col("n") > FEW).join(mixed, "key")
+    if not nearest:
+        kept = wide.where(F.col("n") <= FEW).unionByName(kept)
+    dealt = _dealt(kept, nearest, block_rows).select("key", "block", "role", "place", "node", "label", "size", *words)
     sorted_ = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "role")
     return stored(sorted_.mapInArrow(_pairs(similarity, nearest), "a long, b long").distinct(), "pairs")

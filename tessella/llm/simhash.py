@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import prefixes, shingles
-from tessella.llm.common import forget, map_texts, marked, passed, ship, sized, stored
+from tessella.llm.common import forget, map_texts, marked, passed, release, ship, sized, stored
 from tessella.llm.components import components, roots
 
 PART = 16
@@ -522,7 +522,10 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     place = F.pmod(F.xxhash64("node"), F.lit(prefixes.FILTER_BITS))
     bits = spark.sparkContext.broadcast(marked(rows.select(place.alias("place")), prefixes.FILTER_BITS))
     met = passed(keyed.select(F.col("__id").alias("node"), F.col("__text").alias("x")), place, bits)
-    text = stored(met.join(rows.select("node").distinct(), "node", "left_semi"), "texts")
+    text = stored(met.join(rows.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "texts")
+    info = stored(sets.drop("prefix"), "info")
+    forget(sets)
+    release(spark)
 
     def similar(pairs: DataFrame) -> DataFrame:
         both = pairs.join(text.withColumnRenamed("node", "a"), "a").join(text.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
@@ -536,15 +539,16 @@ def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     for nearest in [*[True] * prefixes.ROUNDS, False]:
         if settled and nearest:
             continue
-        pairs = prefixes.candidates(rows, sets, together, similarity, nearest=nearest)
+        pairs = prefixes.candidates(rows, info, together, similarity, nearest=nearest)
         found = stored(similar(pairs), "links")
         settled = found.isEmpty()
         stars = together.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
         now = labels(components(stars.union(found)))
         forget(pairs, found, together)
         together = now
+        release(spark)
     labelled = nodes.select("node", "doc").join(together, "node")
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("first"))
     stay = stored(first.select(F.col("first.node").alias("__id")).union(empty), "stay")
-    forget(prints, sets, nodes, rows, text, together)
+    forget(prints, info, nodes, rows, text, together)
     return whole.join(stay.hint("shuffle_hash"), "__id", "left_semi").select("__row.*")
