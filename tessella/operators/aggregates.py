@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -56,6 +57,26 @@ def moments(px: DataFrame, by: list[str]) -> DataFrame:
     return m.withColumn("skewness", F.coalesce(skew, F.lit(0.0))).withColumn("orientation", F.coalesce(turn, F.lit(0.0)))
 
 
+def colinear(points: DataFrame, by: str, eps: float = 1e-9) -> DataFrame:
+    """Whether all points of a set lie on one line: the determinant of their scatter is at most ``eps`` times its trace squared."""
+    m = points.groupBy(by).agg(F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.covar_pop("x", "y").alias("xy"))
+    return m.select(by, (F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy") <= eps * (F.col("xx") + F.col("yy")) * (F.col("xx") + F.col("yy"))).alias("colinear"))
+
+
+def digests(px: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """MD5 of each image's bytes, row by row; a missing cell is 0. An image's bytes meet in one task."""
+    h, w = size
+
+    def one(key, table):
+        a = np.zeros((h, w), np.uint8)
+        y, x, v = (table.column(c).to_numpy() for c in "yxv")
+        a[y, x] = v
+        return pa.table({"img": pa.array([key[0].as_py()], table.schema.field("img").type), "md5": pa.array([hashlib.md5(a.tobytes(), usedforsecurity=False).hexdigest()])})
+
+    kind = px.schema["img"].dataType.simpleString()
+    return px.select("img", "y", "x", "v").groupBy("img").applyInArrow(one, f"img {kind}, md5 string")
+
+
 def boxes(px: DataFrame, by: list[str]) -> DataFrame:
     return px.groupBy(*by).agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"), F.count(F.lit(1)).alias("area"))
 

@@ -122,6 +122,16 @@ def best_with_ties(df: DataFrame, n: int, by: str, value: str) -> DataFrame:
     return df.withColumn("__r", F.rank().over(Window.partitionBy(by).orderBy(F.desc(value)))).where(F.col("__r") <= n).drop("__r")
 
 
+def by_strength(df: DataFrame, by: str, value: str, *ties: str) -> DataFrame:
+    """Rows numbered from the strongest of each group down (``place`` from 1); equals in the order of ``ties``."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(value), *ties)))
+
+
+def retain_best(df: DataFrame, n: int, by: str, value: str, *ties: str) -> DataFrame:
+    """The ``n`` strongest rows of each group; ranks are cut in each task before the shuffle."""
+    return by_strength(df, by, value, *ties).where(F.col("place") <= n).drop("place")
+
+
 def rbf_scores(vectors: DataFrame, support: list[tuple[list[float], float]], gamma: float, bias: float) -> DataFrame:
     """Decision values of a kernel machine: sum of coefficient * exp(-gamma d^2), plus the bias.
 

@@ -225,6 +225,75 @@ def hog_cells(px: DataFrame, size: tuple[int, int], cell: int = 8, bins: int = 9
     return binned.groupBy("img", "cy", "cx", "bin").agg(F.sum("m").alias("weight"))
 
 
+HOG_NORMS = ("none", "l1", "l1sqrt", "l2", "l2hys")
+
+
+def hog_check(block: tuple[int, int], stride: tuple[int, int], cell: tuple[int, int], bins: int, norm: str = "none") -> None:
+    """Raise ValueError unless sizes (height, width) fit each other: cells fill blocks, strides fill cells."""
+    if not all((*block, *stride, *cell)):
+        raise ValueError("sizes must not be 0")
+    if any(b % c for b, c in zip(block, cell, strict=True)) or any(c % s for c, s in zip(cell, stride, strict=True)):
+        raise ValueError("blocks must be whole cells, and cells whole strides")
+    if not 2 <= bins <= 360 or norm not in HOG_NORMS:
+        raise ValueError("between 2 and 360 bins, and a known norm")
+
+
+def hog_length(window: tuple[int, int], block: tuple[int, int], stride: tuple[int, int], cell: tuple[int, int], bins: int) -> int:
+    """How many numbers describe a window."""
+    hog_check(block, stride, cell, bins)
+    if any(w < b for w, b in zip(window, block, strict=True)):
+        raise ValueError("the window must hold a block")
+    out = bins
+    for w, b, s, c in zip(window, block, stride, cell, strict=True):
+        out *= (b // c) * ((w - b) // s + 1)
+    return out
+
+
+def hog_histograms(px: DataFrame, size: tuple[int, int], cell: int = 8, bins: int = 9, signed: bool = False) -> DataFrame:
+    """Weights of each cell's bins (img, cy, cx, bin, weight): a pixel's magnitude is shared by the two bins nearest to its direction."""
+    turn = 360 if signed else 180
+    width = turn // bins
+    g = polar(differences(px, size))
+    theta = F.when(F.col("direction") > turn, F.col("direction") - turn).otherwise(F.col("direction"))
+    first = (theta / width - 0.5).cast("int")
+    apart = (theta - first * width) / width - 0.5
+    beside = first + F.when(apart >= 0, 1).otherwise(-1)
+    second = F.when(beside < 0, bins - 1).when(beside > bins - 1, 0).otherwise(beside)
+    part = F.abs(F.col("magnitude") * apart)
+    votes = F.array(F.struct(first.alias("bin"), (F.col("magnitude") - part).alias("w")), F.struct(second.alias("bin"), part.alias("w")))
+    each = g.select("img", F.floor(F.col("y") / cell).cast("int").alias("cy"), F.floor(F.col("x") / cell).cast("int").alias("cx"), F.explode(votes).alias("t"))
+    return each.groupBy("img", "cy", "cx", F.col("t.bin").alias("bin")).agg(F.sum("t.w").alias("weight"))
+
+
+def hog_blocks(cells: DataFrame, grid: tuple[int, int], block: int = 2, norm: str = "l2hys", eps: float = 1e-6) -> DataFrame:
+    """Normalised blocks of ``block`` x ``block`` cells, one cell apart: img, by, bx (first cell), dy, dx, bin, value.
+
+    ``grid`` is how many rows and columns of cells there are. l1 divides by the
+    sum plus eps, l1sqrt takes the root of that, l2 divides by the root of the
+    squares' sum plus eps squared, l2hys does so, cuts at 0.2, and again.
+    """
+    if norm not in HOG_NORMS:
+        raise ValueError(f"unknown norm {norm}")
+    steps = [(dy, dx) for dy in range(block) for dx in range(block)]
+    place = F.explode(F.array(*[F.struct((F.col("cy") - dy).alias("by"), (F.col("cx") - dx).alias("bx"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps]))
+    each = cells.withColumn("p", place).select("img", "p.*", "bin", F.col("weight").alias("value"))
+    each = each.where((F.col("by") >= 0) & (F.col("bx") >= 0) & (F.col("by") <= grid[0] - block) & (F.col("bx") <= grid[1] - block))
+    key = ["img", "by", "bx"]
+
+    def over(d: DataFrame, total: Column) -> DataFrame:
+        return d.join(d.groupBy(*key).agg(total.alias("__t")), key).withColumn("value", F.col("value") / F.col("__t")).drop("__t")
+
+    l1, l2 = F.sum("value") + eps, F.sqrt(F.sum(F.col("value") * F.col("value")) + eps * eps)
+    if norm in ("l1", "l1sqrt"):
+        each = over(each, l1)
+        return each.withColumn("value", F.sqrt("value")) if norm == "l1sqrt" else each
+    if norm in ("l2", "l2hys"):
+        each = over(each, l2)
+    if norm == "l2hys":
+        each = over(each.withColumn("value", F.least("value", F.lit(0.2))), l2)
+    return each
+
+
 def hough_lines(mask: DataFrame, angles: int = 180, least: int = 5) -> DataFrame:
     """Votes for lines rho = x cos t + y sin t through set pixels, above ``least``."""
     t = F.explode(F.sequence(F.lit(0), F.lit(angles - 1)))
@@ -341,6 +410,32 @@ def remap_bilinear(px: DataFrame, table: DataFrame, width: int, height: int, to_
     return sums.select(*KEY, F.when(F.col("inside"), F.floor(F.round("s", 6)).cast("int")).otherwise(default).alias("v"))
 
 
+def remap_nearest(px: DataFrame, table: DataFrame, size: tuple[int, int], to_size: tuple[int, int], default: int = 0) -> DataFrame:
+    """Reads each output pixel (y, x) at the pixel nearest to the place (sy, sx) that a table names; outside, ``default``."""
+    near = lambda c: F.floor(F.when(F.abs(c) < 1e9, F.col(c)).otherwise(-1.0) + 0.5).cast("int")
+    grid = px.select("img").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(to_size[0] - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(to_size[1] - 1))))
+    each = grid.join(table.select("y", "x", near("sy").alias("sy"), near("sx").alias("sx")), ["y", "x"])
+    src = px.where(F.col("y").between(0, size[0] - 1) & F.col("x").between(0, size[1] - 1)).select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    return each.join(src, ["img", "sy", "sx"], "left").select(*KEY, F.coalesce("v", F.lit(default)).alias("v"))
+
+
+def warp_table(spark, m: Sequence[float], to_size: tuple[int, int], inverse: bool = True) -> DataFrame:
+    """Where each pixel of the output is read, for a 2x3 or 3x3 matrix row by row: at m p, or with ``inverse=False`` at the place that m takes to p."""
+    a = np.array([*m, 0, 0, 1] if len(m) == 6 else m, float).reshape(3, 3)
+    a = (a if inverse else np.linalg.inv(a)).ravel().tolist()
+    grid = spark.range(to_size[0] * to_size[1]).select(F.floor(F.col("id") / to_size[1]).cast("int").alias("y"), (F.col("id") % to_size[1]).cast("int").alias("x"))
+    sx, sy = pixel.perspective(a, F.col("x"), F.col("y"))
+    return grid.select("y", "x", sy.alias("sy"), sx.alias("sx"))
+
+
+def warp(px: DataFrame, m: Sequence[float], size: tuple[int, int], to_size: tuple[int, int], *, mode: str = "bilinear", inverse: bool = True, default: int = 0) -> DataFrame:
+    """An image through a 2x3 or 3x3 matrix, "nearest" or "bilinear"."""
+    if mode not in ("nearest", "bilinear"):
+        raise ValueError(f"unknown mode {mode}")
+    table = warp_table(px.sparkSession, m, to_size, inverse)
+    return remap_nearest(px, table, size, to_size, default) if mode == "nearest" else remap_bilinear(px, table, size[1], size[0], to_size[1], to_size[0], default)
+
+
 def patch_orientation(px: DataFrame, diameter: int) -> DataFrame:
     """First moments (m10, m01) of the disc around each pixel and the direction of their sum, in degrees [0, 360)."""
     r = diameter // 2

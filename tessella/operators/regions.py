@@ -48,6 +48,12 @@ def label(mask: DataFrame) -> DataFrame:
     return mask.select("img", "y", "x").groupBy("img").applyInPandas(_label, "img int, y int, x int, label int")
 
 
+def keep_labels(labelled: DataFrame, wanted) -> DataFrame:
+    """Pixels of regions for which an aggregate condition over the region's rows holds; all others go."""
+    kept = labelled.groupBy("img", "label").agg(wanted.alias("__keep")).where("__keep").select("img", "label")
+    return labelled.join(kept, ["img", "label"], "left_semi").select("img", "y", "x", "label")
+
+
 def hysteresis(px: DataFrame, low: int, high: int) -> DataFrame:
     """Pixels above ``low`` in regions that have one above ``high``."""
     weak = px.where(F.col("v") > low)

@@ -171,6 +171,52 @@ def convert(frames: DataFrame, src: str, dst: str, size: tuple[int, int]) -> Dat
     return frames.select("img", "content").mapInArrow(work, f"img {kind}, content binary")
 
 
+def scale_plane(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear scaling of a plane in 8.8 fixed point, clamped at the far border."""
+    fy, fx = np.arange(h) * (a.shape[0] * 256 // h), np.arange(w) * (a.shape[1] * 256 // w)
+    y, x = fy >> 8, fx >> 8
+    y1, x1 = np.minimum(y + 1, a.shape[0] - 1), np.minimum(x + 1, a.shape[1] - 1)
+    wy, wx = (fy & 255)[:, None], (fx & 255)[None, :]
+    b = a.astype(np.int64)
+    top = b[y][:, x] * (256 - wx) + b[y][:, x1] * wx
+    low = b[y1][:, x] * (256 - wx) + b[y1][:, x1] * wx
+    return (top * (256 - wy) + low * wy >> 16).astype(np.uint8)
+
+
+def scale_to_rgb(frames: DataFrame, src: str, size: tuple[int, int], to_size: tuple[int, int]) -> DataFrame:
+    """Frames of a format with luma and chroma as RGB of another size: each plane is scaled, then converted."""
+    if src not in (*PLANAR, *SEMI, *PAIRED):
+        raise ValueError(f"{src} has no luma and chroma")
+    sy, sx = _steps(src)
+
+    def one(raw: bytes) -> bytes:
+        if size == to_size:
+            return convert_frame(raw, src, "rgb24", *size)
+        h, w = to_size
+        channels = unpack(raw, src, *size)
+        chroma = {c: scale_plane(channels[c], -(-h // sy), -(-w // sx)).repeat(sy, axis=0).repeat(sx, axis=1)[:h, :w] for c in "uv"}
+        return pack(_rgb(scale_plane(channels["y"], h, w), chroma["u"], chroma["v"]), "rgb24")
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if raw is None else one(raw) for raw in batch.column(1).to_pylist()], pa.binary())], ["img", "content"])
+
+    kind = frames.schema["img"].dataType.simpleString()
+    return frames.select("img", "content").mapInArrow(work, f"img {kind}, content binary")
+
+
+def wrap_frame(raw: bytes, fmt: str, h: int, w: int, stride: int, to_stride: int | None = None) -> bytes:
+    """A frame whose rows are ``stride`` pixels long as one with rows of ``to_stride`` (the width, if not given); what is added is 0."""
+    to_stride = to_stride or w
+    wide = unpack(raw, fmt, h, stride)
+    out = {}
+    for c, a in wide.items():
+        n = -(-w // (stride // a.shape[1] if a.shape[1] < stride else 1)) if a.shape[1] < stride else w
+        full = -(-to_stride // 2) if a.shape[1] < stride else to_stride
+        out[c] = np.pad(a[:, : min(n, full)], ((0, 0), (0, max(0, full - n))))
+    return pack(out, fmt)
+
+
 def split(frames: DataFrame, fmt: str, size: tuple[int, int]) -> DataFrame:
     """The channels of frames as rows (img, c, y, x, v), each channel as it is stored; ``c`` is its letter."""
 

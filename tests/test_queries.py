@@ -1,6 +1,6 @@
 import pytest
 from oracle import connect, differences
-from tessella.plans import catalogue, golden  # noqa: F401
+from tessella.plans import catalogue, golden, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
