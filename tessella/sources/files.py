@@ -22,7 +22,7 @@ FIELDS = tuple(_TAGS.values())
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder: path, name, extension (upper case), length, and the image format that the first bytes tell."""
+    """Files of a folder: path, name, extension (upper case), length, and the image format that the first bytes tell. Empty files are left out."""
     files = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lit(None).cast("string")
