@@ -102,16 +102,20 @@ def byte_chunks(text: str) -> tuple[str, list[str]] | None:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and forgets everything once it is full."""
+    """A dictionary that computes what it lacks. Once it is full, what was not asked for since it was last full is forgotten."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 300_000):
         super().__init__()
         self.compute, self.limit = compute, limit
+        self.before: dict = {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.before = dict(self)
+                self.clear()
             self[key] = value
         return value
