@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MATRIX = "struct<rows:int,cols:int,type:string,data:array<double>>"
@@ -13,9 +15,17 @@ def to_matrix_json(cells: DataFrame, by: list[str]) -> DataFrame:
 
     A matrix becomes one row, so its size is bounded by a task's memory.
     """
-    held = cells.groupBy(*by).agg((F.max("i") + 1).cast("int").alias("rows"), (F.max("j") + 1).cast("int").alias("cols"), F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "v"))).alias("at"))
-    dense = F.expr("transform(sequence(0, rows * cols - 1), k -> coalesce(at[struct(cast(k div cols as int), cast(k % cols as int))], 0D))")
-    return held.select(*by, F.to_json(F.struct("rows", "cols", F.lit("64f").alias("type"), dense.alias("data"))).alias("json"))
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in by}
+
+    def one(key, table):
+        i, j, v = (table.column(c).to_numpy() for c in "ijv")
+        a = np.zeros((int(i.max()) + 1, int(j.max()) + 1))
+        a[i, j] = v
+        names = {c: pa.array([k.as_py()], table.schema.field(c).type) for c, k in zip(by, key, strict=True)}
+        return pa.table(names | {"rows": pa.array([a.shape[0]], pa.int32()), "cols": pa.array([a.shape[1]], pa.int32()), "data": pa.array([a.ravel()], pa.list_(pa.float64()))})
+
+    held = cells.select(*by, "i", "j", F.col("v").cast("double").alias("v")).groupBy(*by).applyInArrow(one, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", rows int, cols int, data array<double>")
+    return held.select(*by, F.to_json(F.struct("rows", "cols", F.lit("64f").alias("type"), "data")).alias("json"))
 
 
 def from_matrix_json(docs: DataFrame, json: str = "json") -> DataFrame:
@@ -26,19 +36,23 @@ def from_matrix_json(docs: DataFrame, json: str = "json") -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str, width: int, height: int, channels: int = 1) -> DataFrame:
-    """Pixels (path, y, x, c, v) of headerless 8-bit images; files of another size are refused."""
+    """Pixels (path, y, x, c, v) of headerless 8-bit images with interleaved channels; files of another size are refused."""
     files = spark.read.format("binaryFile").load(path)
-    size = width * height * channels
-    checked = files.select("path", F.when(F.col("length") == size, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("wrong size: "), "path"))).alias("content"))
-    return unpack(checked, F.col("content"), width, channels, ["path"])
+    fits = F.col("length") == width * height * channels
+    checked = files.select("path", F.when(fits, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("wrong size: "), "path"))).alias("content"))
+
+    def work(batches):
+        y, x, c = (pa.array(a.ravel()) for a in np.indices((height, width, channels), np.int32))
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(y)), y, x, c, pa.array(np.frombuffer(raw, np.uint8).astype(np.int32))], ["path", "y", "x", "c", "v"])
+
+    return checked.mapInArrow(work, "path string, y int, x int, c int, v int")
 
 
-def unpack(images: DataFrame, content: Column, width: int, channels: int, keep: list[str]) -> DataFrame:
-    """One row for each byte of packed images."""
-    at = images.withColumn("__h", F.hex(content)).select(*keep, "__h", F.explode(F.sequence(F.lit(0), (F.length("__h") / 2 - 1).cast("int"))).alias("k"))
-    v = F.conv(F.substring(F.col("__h"), F.col("k") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    pixel = F.floor(F.col("k") / channels)
-    return at.select(*keep, F.floor(pixel / width).cast("int").alias("y"), (pixel % width).cast("int").alias("x"), (F.col("k") % channels).alias("c"), v.alias("v"))
+def read_xml_strings(docs: DataFrame, xml: str, xpath: str) -> DataFrame:
+    """Texts at ``xpath`` of XML documents, as an array column ``strings``."""
+    return docs.withColumn("strings", F.xpath(F.col(xml), F.lit(xpath)))
 
 
 def read_xml_numbers(docs: DataFrame, xml: str, xpath: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from tessella.operators import neighbourhood as N
+from tessella.operators import regions
 from tessella.operators.tiles import over_tiles
 
 
@@ -73,3 +74,31 @@ def test_thresholds_at_the_frame(spark):
     assert (turned == 0).all()
     with pytest.raises(ValueError):
         N.mean_kernel(4)
+
+
+def flood(mask):
+    """Regions by flooding, numbered in order of first pixels."""
+    out, n = np.zeros(mask.shape, int), 0
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if not out[y, x]:
+            n += 1
+            todo = [(y, x)]
+            out[y, x] = n
+            while todo:
+                a, b = todo.pop()
+                for dy, dx in N.NINE:
+                    c, d = a + dy, b + dx
+                    if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
+                        out[c, d] = n
+                        todo.append((c, d))
+    return out
+
+
+@pytest.mark.parametrize("share", [0.3, 0.42, 0.7])
+def test_regions_over_tiles(spark, share):
+    mask = np.random.default_rng(int(share * 100)).random((40, 50)) < share
+    mask[20, :] = share < 0.4  # a line through all tiles
+    px = pixels(spark, mask.astype(int)).where("v = 1")
+    assert (grid(regions.label(px, tile=8), mask.shape, "label") == flood(mask)).all()
+    want = regions.regions_of(mask)
+    assert ((want >= 0) == mask).all() and len(np.unique(want[mask])) == flood(mask).max()
