@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions import pixel as P
 from tessella.operators import aggregates as A
+from tessella.operators import corners as C
 from tessella.operators import matching as M
 from tessella.operators import neighbourhood as N
 from tessella.operators import regions as R
 from tessella.plans import golden
-from tessella.plans.catalogue import _DIFF_SQL, _LABELS, PT, PX, SIZE, VEC, _RING_SQL, register
+from tessella.plans.catalogue import _DIFF_SQL, _LABELS, PT, PX, SIZE, VEC, _RING_SQL, r6, register
 from tessella.sources import fixtures as X
 from tessella.sources import formats
 
@@ -60,6 +61,23 @@ def strongest_corners(spark, sf_dir):
     return M.by_strength(M.retain_best(corners, 20, "img", "strength", "y", "x"), "img", "strength", "y", "x")
 
 
+@register(f"""{PX}, ring(k, dy, dx) AS (VALUES {_RING_SQL}), d AS (SELECT a.img, a.y, a.x, list(b.v - a.v ORDER BY k) AS d FROM raster a, ring JOIN raster b ON b.y = a.y + dy AND b.x = a.x + dx AND b.img = a.img GROUP BY 1, 2, 3 HAVING count(*) = 16),
+s AS (SELECT img, y, x, s, list_concat(d, d)[s : s + 8] AS arc FROM d, (SELECT unnest(range(1, 17)) AS s)), m AS (SELECT img, y, x, max(greatest(list_min(arc), -list_max(arc))) - 1 AS m FROM s GROUP BY 1, 2, 3 HAVING max(greatest(list_min(arc), -list_max(arc))) > 20),
+p AS (SELECT a.img, a.y, a.x, any_value(a.m) AS m FROM m a LEFT JOIN m b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY 1, 2, 3 HAVING coalesce(max(b.m), -1) < any_value(a.m)),
+q AS (SELECT * FROM p QUALIFY rank() OVER (PARTITION BY img ORDER BY m DESC) <= 12), k AS (SELECT * FROM q WHERE y BETWEEN 6 AND 25 AND x BETWEEN 6 AND 25)
+SELECT k.img, 0 AS level, k.y, k.x, CAST(any_value(k.m) AS INT) AS strength, round(fmod(degrees(atan2(sum(b.v * (b.y - k.y))::DOUBLE, sum(b.v * (b.x - k.x))::DOUBLE)) + 360.0, 360.0), 6) + 0.0 AS angle, k.y::DOUBLE AS y0, k.x::DOUBLE AS x0
+FROM k JOIN raster b ON k.img = b.img AND (k.y - b.y) * (k.y - b.y) + (k.x - b.x) * (k.x - b.x) <= 9 GROUP BY k.img, k.y, k.x""")
+def oriented_corners(spark, sf_dir):
+    return C.detect(X.raster(spark, sf_dir), SIZE, wanted=12, levels=1, patch=7).withColumn("angle", r6(F.col("angle")))
+
+
+@register()
+def corner_descriptors(spark, sf_dir):
+    px = X.raster(spark, sf_dir)
+    found = C.detect(px, SIZE, wanted=24, levels=2, patch=7)
+    return C.describe(px, found, SIZE, levels=2, pairs=C.pattern(128, 3)).select("img", "level", "y", "x", F.hex("bits").alias("bits"))
+
+
 _W = [0.9, 0.2, 1.5, -0.1, 1.1, -2.0, 0.002, 0.003, 1.0]
 _WARP_SQL = f"""{PX}, o AS (SELECT i.img, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x FROM (SELECT DISTINCT img FROM raster) i, (SELECT unnest(range(0, 30)) AS yy), (SELECT unnest(range(0, 34)) AS xx)),
 z AS (SELECT *, {_W[6]}::DOUBLE * x + {_W[7]}::DOUBLE * y + {_W[8]}::DOUBLE AS z FROM o), m AS (SELECT img, y, x, ({_W[0]}::DOUBLE * x + {_W[1]}::DOUBLE * y + {_W[2]}::DOUBLE) / z AS sx, ({_W[3]}::DOUBLE * x + {_W[4]}::DOUBLE * y + {_W[5]}::DOUBLE) / z AS sy FROM z)"""
