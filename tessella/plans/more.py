@@ -10,6 +10,7 @@ from tessella.operators import corners as C
 from tessella.operators import matching as M
 from tessella.operators import neighbourhood as N
 from tessella.operators import regions as R
+from tessella.operators import stable
 from tessella.plans import golden
 from tessella.plans.catalogue import _DIFF_SQL, _LABELS, PT, PX, SIZE, VEC, _RING_SQL, r6, register
 from tessella.sources import fixtures as X
@@ -78,6 +79,11 @@ def corner_descriptors(spark, sf_dir):
     return C.describe(px, found, SIZE, levels=2, pairs=C.pattern(128, 3)).select("img", "level", "y", "x", F.hex("bits").alias("bits"))
 
 
+@register()
+def stable_regions(spark, sf_dir):
+    return stable.regions(X.raster(spark, sf_dir), SIZE, least=0.002, variation=1.0).withColumn("variation", F.round("variation", 6))
+
+
 _W = [0.9, 0.2, 1.5, -0.1, 1.1, -2.0, 0.002, 0.003, 1.0]
 _WARP_SQL = f"""{PX}, o AS (SELECT i.img, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x FROM (SELECT DISTINCT img FROM raster) i, (SELECT unnest(range(0, 30)) AS yy), (SELECT unnest(range(0, 34)) AS xx)),
 z AS (SELECT *, {_W[6]}::DOUBLE * x + {_W[7]}::DOUBLE * y + {_W[8]}::DOUBLE AS z FROM o), m AS (SELECT img, y, x, ({_W[0]}::DOUBLE * x + {_W[1]}::DOUBLE * y + {_W[2]}::DOUBLE) / z AS sx, ({_W[3]}::DOUBLE * x + {_W[4]}::DOUBLE * y + {_W[5]}::DOUBLE) / z AS sy FROM z)"""
