@@ -463,7 +463,17 @@ def resize_bicubic(spark, sf_dir):
     return N.resize_bicubic(X.raster(spark, sf_dir), 32, 32, 40, 24)
 
 
-@register()
+def _level_sql(n: int, side: int) -> str:
+    if n == 0:
+        return "SELECT img, 0 AS level, y, x, v FROM raster"
+    step = 32 * 256 // side
+    return f"""SELECT c.img, {n} AS level, c.y, c.x, CAST(sum(w * coalesce(r.v, 0))::BIGINT >> 16 AS INT) AS v FROM (SELECT img, y, x, least((fy >> 8) + dy, 31) AS sy, least((fx >> 8) + dx, 31) AS sx,
+  (CASE WHEN dy = 1 THEN fy & 255 ELSE 256 - (fy & 255) END) * (CASE WHEN dx = 1 THEN fx & 255 ELSE 256 - (fx & 255) END) AS w
+  FROM (SELECT i.img, CAST(yy AS INT) AS y, CAST(xx AS INT) AS x, yy * {step} AS fy, xx * {step} AS fx FROM (SELECT DISTINCT img FROM raster) i, (SELECT unnest(range(0, {side})) AS yy), (SELECT unnest(range(0, {side})) AS xx)), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(dy, dx)) c
+LEFT JOIN raster r ON r.img = c.img AND r.y = c.sy AND r.x = c.sx GROUP BY 1, 2, 3, 4"""
+
+
+@register(f"{PX} " + " UNION ALL ".join(_level_sql(n, int(32 * 0.83**n)) for n in range(4)))
 def scale_pyramid(spark, sf_dir):
     return N.pyramid(X.raster(spark, sf_dir), 32, 32, 0.83, 4)
 
