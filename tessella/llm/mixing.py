@@ -34,6 +34,8 @@ BAND_SLACK = 0.05
 #: Sources' sums of rates times tokens must come so near their targets.
 NEAR = 1e-6
 _ROUNDS = 100
+#: Rows of (source, tokens) that one task sums.
+CELL_ROWS = 200_000
 #: Sums are taken in so many parts of one; what one size adds stops at a number no sum near the solution comes to.
 _UNITS, _MOST = 1 << 20, 1e12
 #: Lengths of a Newton step that the line search tries.
@@ -139,8 +141,9 @@ def rates(cells: DataFrame, want: dict[int, float], *, most: int = MOST, slack:
             yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(found[some])], ["at", "x"])
 
         out = np.zeros(2 * len(sources) * len(bands) + len(trials))
-        for r in cells.mapInArrow(work, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-            out[r["at"]] = r["x"] / _UNITS
+        # a few rows from each of few tasks
+        for r in cells.mapInArrow(work, "at long, x double").collect():
+            out[r["at"]] += r["x"] / _UNITS
         n = len(sources) * len(bands)
         return out[:n].reshape(len(sources), -1), out[n : 2 * n].reshape(len(sources), -1), out[2 * n :]
 
@@ -250,7 +253,9 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, te
     # at the cap there is nothing to solve: all documents are taken ``most`` times
     full = [float(0 < want[i] >= most * sizes[s] * (1 - 1e-9)) for i, s in enumerate(order)]
     cells = stored(rows.where("size > 0").groupBy("s", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
-    left = cells.where(listed(full, F.col("s")) == 0) if order else cells
+    # few rows, so few tasks sum them in each round
+    few = cells.coalesce(max(1, -(-cells.count() // CELL_ROWS)))
+    left = few.where(listed(full, F.col("s")) == 0) if order else few
     lam, mu, unit = rates(left, dict(enumerate(want)), most=most) if any(not f and want[i] for i, f in enumerate(full)) else ({}, {}, 1.0)
     forget(cells)
     tilt = F.col("size") / F.lit(unit) * (listed([lam.get(i) for i in range(len(order))], F.col("s")) + listed([mu.get(b) for b in range(max(mu, default=-1) + 1)], _band(F.col("size"))))
