@@ -20,6 +20,16 @@ def grid(df, shape, value="v"):
     return out
 
 
+def test_xor_with_the_pixel_above(spark):
+    """Across a tile's border, in the first row, and below a missing cell."""
+    a = np.random.default_rng(5).integers(0, 256, (300, 3))
+    px = pixels(spark, a).where("NOT (y = 128 AND x = 1)")
+    a[128, 1] = 0
+    want = a ^ np.vstack([np.zeros((1, 3), int), a[:-1]])
+    got = {(r.y, r.x): r.v for r in N.xor_above(px).collect()}
+    assert got == {(y, x): int(want[y, x]) for y in range(300) for x in range(3) if (y, x) != (128, 1)}
+
+
 def test_a_flat_image_has_no_edges(spark):
     px = pixels(spark, np.full((6, 6), 100))
     for name in N.KERNELS:
