@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, differences
 from pyspark.sql import functions as F
-from tessella.llm import bpe_automaton, context_coder, kd_shards, mixing, prefixes, quality, queries, rlz, secret_scan, shingles, simhash, sql, token_count, token_store, va_topk, xx64
+from tessella.llm import bpe_automaton, context_coder, frame_coder, kd_shards, mixing, prefixes, quality, queries, rlz, secret_scan, shingles, simhash, sql, token_count, token_store, va_topk, xx64
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -110,6 +110,65 @@ def test_token_store(odd, none, spark):
         token_store.unpack_frame(frame[:-1] + bytes([frame[-1] ^ 1]))
 
 
+def test_frames_coded_by_tasks_equal_those_of_numpy(spark):
+    r = np.random.default_rng(2)
+    some = [r.integers(0, 65536, 5000), r.zipf(1.3, 9000) % 65536, np.repeat(r.integers(0, 300, 900), r.integers(1, 6, 900)), np.tile(r.integers(0, 65536, 30), 90), np.full(4097, 65535), np.zeros(2048, int), np.arange(1), np.zeros(0, int)]
+    some = [x.astype("<u2") for x in some]
+    cases = [([7, None, -1], np.array([0, len(x), 0]), x) for x in some]
+    rows = [(i, bytearray(token_store.plain_frame(*c))) for i, c in enumerate(cases)]
+    plain = spark.createDataFrame(rows, "i int, frame binary").repartition(3)
+    both = plain.withColumn("coded", frame_coder.coded(spark, "frame")).withColumn("back", frame_coder.plain(spark, "coded"))
+    got = {r.i: (bytes(r.coded), bytes(r.back)) for r in both.collect()}
+    assert got == {i: (token_store.pack_frame(*c), bytes(f)) for (i, f), c in zip(rows, cases, strict=True)}
+    # another session of the application
+    assert plain.sparkSession is not (other := spark.newSession())
+    again = other.createDataFrame(rows, "i int, frame binary").withColumn("coded", frame_coder.coded(other, "frame"))
+    assert {r.i: bytes(r.coded) for r in again.collect()} == {i: c for i, (c, _) in got.items()}
+    for at in (0, 4, 30, 40, -1):
+        bad = bytearray(got[1][0])
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="damaged frame"):
+            spark.createDataFrame([(bad,)], "frame binary").select(frame_coder.plain(spark, "frame")).collect()
+
+
+def test_new_chunks_go_to_the_library_together():
+    r = random.Random(8)
+    odd = ["a,b", "\t", "x\n", "\ny", "é\u3000", "\x85z", "", "<|endoftext|>", "q<|endoftext|>", "日本", "\u2009", "it's", "w" * 70, "\x1c", "À\u0301"]
+    words = ["".join(r.choices("abcdéß.,\n1", k=r.randrange(1, 9))) for _ in range(5000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(20)] + [" ".join(r.choices([*odd, "k", "ka"], k=6)) for _ in range(300)] + ["", " ", "  "]
+    lib = library("byte_bpe_50k.json")
+    encoder = token_store.IdEncoder(bpe_automaton.tokenizer_bytes(public_tokenizers.path("byte_bpe_50k.json")))
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, counts = encoder.encode(pa.array(texts), 2)
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)] == [[*w, 2] for w in want]
+
+    class Counting:
+        texts = 0
+
+        def __getattr__(self, name):
+            def call(given, **options):
+                Counting.texts += len(given)
+                return getattr(lib, name)(given, **options)
+
+            return call
+
+    encoder.library = Counting()
+    ids, counts = encoder.encode(pa.array([" ".join(f"n{i}" for i in range(3500))]))
+    assert ids.tolist() == lib.encode(" ".join(f"n{i}" for i in range(3500)), add_special_tokens=False).ids
+    assert Counting.texts <= 6
+
+
+def test_batches_of_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_store, "BATCH_ROWS", 10)
+    monkeypatch.setattr(token_store, "BATCH_BYTES", 1000)
+    given = [pa.RecordBatch.from_pydict({"text": [t] * n}) for n, t in ((4, "a"), (4, "b"), (4, "c"), (1, "d" * 2000), (1, "e" * 600), (1, "f" * 600), (10, ""))]
+    got = list(token_store._gathered(iter(given)))
+    assert [x for b in got for x in b["text"].to_pylist()] == [x for b in given for x in b["text"].to_pylist()]
+    assert [len(b) for b in got] == [8, 4, 1, 1, 1, 10] and list(token_store._gathered(iter([]))) == []
+
+
 def test_xx64_agrees_with_the_library():
     r = random.Random(3)
     raw = bytes(r.randrange(256) for _ in range(900))
