@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding: number of ids, and digests of ids and decoded text."""
-    return bpe_automaton.encode_digests(docs, public_tokenizers.path(WORD_TOKENIZER))
+    return bpe_automaton.encode_digests(docs, public_tokenizers.path(WORD_TOKENIZER), keep=False)
 
 
 STAGES = [

@@ -23,6 +23,7 @@ Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -187,6 +188,12 @@ def _digest_memos(raw: bytes) -> tuple[tf.Memo, tf.Memo]:
     return tf.Memo(as_text), tf.Memo(decoded)
 
 
+def forget_chunks() -> None:
+    """Drop the chunks that this Python worker remembers; automata stay."""
+    _digest_memos.cache_clear()
+    gc.collect()  # memos and the functions that fill them refer to each other
+
+
 def encode_digest(raw: bytes, text: str | None) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text."""
     auto, (memo, shown) = automaton(raw), _digest_memos(raw)
@@ -240,24 +247,32 @@ def decode_documents(encoded: DataFrame, tokenizer: str, *, id_col: str = "doc_i
     return map_texts(encoded, [F.col(id_col).alias("id"), F.col(ids_col).alias("ids")], work, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """Encode and decode every whole text, and keep what identifies the two results.
 
     Returns the id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, one row
     for each input row. A null text counts as empty: no ids, and the digests of
     nothing. Needs a vocabulary of words (white space dropped).
+
+    Chunks are remembered by Python workers, which Spark hands on to whatever
+    runs next. Without ``keep`` each task forgets them at its end: the next one
+    spells its chunks anew, but other stages don't hold that memory.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_bytes(tokenizer))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches):
         raw = sent.value
-        for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch.column(1):
-                a, b, c = encode_digest(raw, text.as_py())
-                n.append(a), ids.append(b), decoded.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                n, ids, decoded = [], [], []
+                for text in batch.column(1):
+                    a, b, c = encode_digest(raw, text.as_py())
+                    n.append(a), ids.append(b), decoded.append(c)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            if not keep:
+                forget_chunks()
 
     out = map_texts(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], work, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import weakref
 
 import corpus_pipeline
 import duckdb
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
-from tessella.llm import mixing, queries, quality, secret_scan, shingles, simhash
+from tessella.llm import bpe_automaton, mixing, queries, quality, secret_scan, shingles, simhash
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +128,25 @@ def test_near_copies_of_the_table_equal_all_pairs(spark):
     docs = quality.keep_good(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     _, first = without_near_copies(rows_of(docs))
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {k[1] for k in first.values()}
+
+
+def test_encoding_leaves_no_chunks_in_the_worker(spark, monkeypatch):
+    """Spark reuses a Python worker for the next stage; what the last task remembered must not stay in it."""
+    works, real = [], bpe_automaton.map_texts
+
+    def seen(docs, columns, work, schema):
+        works.append(work)
+        return real(docs, columns, work, schema)
+
+    monkeypatch.setattr(bpe_automaton, "map_texts", seen)
+    corpus_pipeline.encode(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    path = public_tokenizers.path(queries.WORD_TOKENIZER)
+    texts = ["The quick brown fox", None, "jumps over the lazy dog"]
+    out = works[0](iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["id", "text"])]))
+    got = next(out).to_pylist()
+    library = Tokenizer.from_file(path)
+    assert [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got] == [digests(t, library) for t in texts]
+    chunks = weakref.ref(bpe_automaton._digest_memos(bpe_automaton.tokenizer_bytes(path))[0])
+    assert len(chunks()) == 9 - 1  # "the" comes twice
+    assert next(out, None) is None
+    assert chunks() is None and bpe_automaton._digest_memos.cache_info().currsize == 0
