@@ -3,7 +3,7 @@
 import struct
 
 import pytest
-from tessella.plans import golden
+from tessella.plans import catalogue, golden
 from tessella.sources import files, formats, images
 import numpy as np
 
@@ -96,3 +96,19 @@ def test_frames_with_long_rows(fmt):
     assert len(narrow) == formats.frame_bytes(fmt, 4, 6)
     assert (formats.unpack(narrow, fmt, 4, 6)["y" if "y" in formats.unpack(narrow, fmt, 4, 6) else "r"] == formats.unpack(raw, fmt, 4, 10)["y" if "y" in formats.unpack(raw, fmt, 4, 10) else "r"][:, :6]).all()
     assert formats.wrap_frame(formats.wrap_frame(raw, fmt, 4, 10, 10, 16), fmt, 4, 10, 16) == raw
+
+
+@pytest.mark.parametrize("name", ["convert_bgr24_y"])
+def test_few_small_frames_take_one_task(spark, name):
+    # each task holds three Python workers here; no table is read, so the folder need not exist
+    df = catalogue.QUERIES[name](spark, "/nowhere")
+    assert df.rdd.getNumPartitions() == 1
+    assert {r.img for r in df.select("img").distinct().collect()} == set(range(golden.IMAGES))
+
+
+def test_large_frames_are_dealt_over_tasks(spark):
+    assert golden.frames(spark, "rgb24", (1080, 1920), 8).rdd.getNumPartitions() == 8
+    some = golden.frames(spark, "y", (1000, 1100), 9)
+    assert some.rdd.getNumPartitions() == 3
+    assert sorted((r.img, len(r.content)) for r in some.collect()) == [(i, 1_100_000) for i in range(9)]
+    assert golden.frames(spark, "y", images=0).collect() == []
