@@ -2,7 +2,9 @@
 
 import struct
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 from tessella.plans import catalogue, golden
 from tessella.sources import files, formats, images
 import numpy as np
@@ -98,7 +100,7 @@ def test_frames_with_long_rows(fmt):
     assert formats.wrap_frame(formats.wrap_frame(raw, fmt, 4, 10, 10, 16), fmt, 4, 10, 16) == raw
 
 
-@pytest.mark.parametrize("name", ["convert_bgr24_y"])
+@pytest.mark.parametrize("name", ["convert_bgr24_y", "convert_yvu420p_rgb24"])
 def test_few_small_frames_take_one_task(spark, name):
     # each task holds three Python workers here; no table is read, so the folder need not exist
     df = catalogue.QUERIES[name](spark, "/nowhere")
@@ -112,3 +114,26 @@ def test_large_frames_are_dealt_over_tasks(spark):
     assert some.rdd.getNumPartitions() == 3
     assert sorted((r.img, len(r.content)) for r in some.collect()) == [(i, 1_100_000) for i in range(9)]
     assert golden.frames(spark, "y", images=0).collect() == []
+
+
+def test_conversions_hold_few_frames(monkeypatch):
+    class Frames:
+        """Stands for a table; keeps what a worker would run."""
+
+        schema = StructType().add("img", "integer").add("content", "binary")
+        select = lambda self, *_: self
+        mapInArrow = lambda self, work, _: work
+
+    h, w, calls, convert_frame = 1000, 1100, [], formats.convert_frame
+    monkeypatch.setattr(formats, "convert_frame", lambda *a: calls.append(1) or convert_frame(*a))
+    raw = bytes(formats.frame_bytes("yvu420p", h, w))
+    contents = [raw, None, raw, raw, raw, raw, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int32()), pa.array(contents, pa.binary())], ["img", "content"])
+    for work in (formats.convert(Frames(), "yvu420p", "rgb24", (h, w)), formats.scale_to_rgb(Frames(), "yvu420p", (h, w), (h, w))):
+        calls.clear()
+        got = work(iter([batch, batch.slice(0, 0)]))
+        first = next(got)
+        assert len(calls) == 2 and first.num_rows == 3
+        table = pa.Table.from_batches([first, *got])
+        assert table["img"].to_pylist() == list(range(7))
+        assert table["content"].to_pylist() == [c and convert_frame(c, "yvu420p", "rgb24", h, w) for c in contents]
